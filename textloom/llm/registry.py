@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["op7"]
+_MODULES = ["op3", "op7", "op10"]
 
 QUERIES, ORACLE_SQL = {}, {}
 for _name in _MODULES:
