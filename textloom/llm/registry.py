@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["op3", "op7", "op10"]
+_MODULES = [f"op{n}" for n in range(1, 11)]
 
 QUERIES, ORACLE_SQL = {}, {}
 for _name in _MODULES:
