@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. run() writes each stage's rows as Parquet in the folder that driver and executors share and
+reads them again for the next. Stages work on any docs with doc_id and text, nulls and repeated rows as
+the operators define them.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +12,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate as _decontaminate
+from textloom.llm import decontaminate, neardup, op3, packing, quality, secrets
 from textloom.llm._store import keep
 
 
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that the compression classifier rejects."""
+    return quality.accepted(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return neardup.deduplicated(docs, percent=85)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that hold passages of the benchmark."""
-    return _decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Without documents that hold windows of two benchmark items or more."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With secrets replaced in the texts."""
+    return secrets.redacted(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences of 2048 ids."""
+    return packing.packed(docs, op3.tokenizer_path())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("benchmark decontamination", decontaminated)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", of_quality),
+    ("near-dedup", deduplicated),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", without_secrets),
+    ("best-fit packing", packed),
+]
 
 #: SQL can express neither the classifier nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that remain of sf_dir's documents, packed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
