@@ -10,7 +10,8 @@ of them; a document with fewer keeps its whole set.
    k smallest values of their union, so among the k - o + 1 rarest values of both sketches there is a
    common one, where o is the overlap that a pair over the threshold keeps but for a chance below
    1e-9 (union-sketch estimation; exact where the sketch is the set).
-3. Values link documents into families of possible partners (components of the lists).
+3. Values link documents into families of possible partners (components of the lists). Only texts of
+   families are shuffled (a filter of a fixed size holds back most of the others).
 4. In a family all exact intersections are counted at once on full sets, as products of blocks of the
    document-by-shingle matrix; a large family is dealt in pairs of blocks. A block pair returns a
    spanning forest of its confirmed links, so no list of pairs grows with the square of a family, and
@@ -205,6 +206,31 @@ def _confirmed(sets: DataFrame, percent: int, shingle: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+#: Bits of the filter of document ids that is broadcast, whatever the corpus (2 MB).
+FILTER_BITS = 1 << 24
+
+
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of a superset of the wanted documents, so that the other texts need not be shuffled.
+
+    A filter of FILTER_BITS bits, one hash, with false positives; the join with `wanted` decides.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words_of = wanted.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words_of.toLocalIterator():  # FILTER_BITS / 64 rows at most
+        bits[r[0]] = r[1]
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            b = batch.column("b").to_numpy()
+            yield batch.filter(pa.array((known[b >> 6] >> (b & 63)) & 1 == 1)).select(["doc_id", "text"])
+
+    return _rows(docs).where("doc_id is not null").withColumn("b", bit).mapInArrow(run, "doc_id long, text string")
+
+
 def clusters(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, k: int = SKETCH) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id of its component), kept."""
     sketches = keep(sketched(docs, shingle=shingle, k=k), "sketches")
@@ -216,7 +242,7 @@ def clusters(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE,
     # blocks by hash: half the bound on average, as hashes deal unevenly
     blocks = F.when((F.col("m") <= BLOCK_DOCS) & (F.col("w") <= BLOCK_SHINGLES), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("m") * 2 / BLOCK_DOCS), F.ceil(F.col("w") * 2 / BLOCK_SHINGLES)).cast("int"))
     dealt = families.join(sizes.select("family", blocks.alias("n")), "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
-    texts = _rows(docs).join(dealt.select("doc_id", "family", "n", "block"), "doc_id")
+    texts = _likely(docs, families).join(dealt.select("doc_id", "family", "n", "block"), "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     sets = texts.select("*", other.alias("other")).select("doc_id", "text", "family", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     edges = keep(_confirmed(sets, percent, shingle), "links")
