@@ -146,8 +146,9 @@ def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count) + first[k], k
 
 
-_ANCHORS = "route long, h long, doc long, tie int, lo int, hi int, known boolean"
-_CHECKED = "doc long, tie int, h long, lo int, hi int"
+#: `at` packs a run of starts: the first, how many follow it (7 bits), and what is known of its anchor (2 bits):
+#: 0 nothing yet, 1 that it repeats, 2 that it does and need not meet the others.
+_ANCHORS = "h long, doc long, tie int, at long"
 _SETTLED = "route long, doc long, tie int, lo int, hi int, bytes binary"
 _RANGES = "doc long, tie int, lo int, hi int"
 
@@ -164,37 +165,33 @@ def _emit_anchors(length: int):
                     continue
                 _, first, inv, many = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 known = many[inv] > 1
-                aside = known & (first[inv] != np.arange(len(h)))  # settled: need not meet the others
-                route = np.where(aside, mix(doc[i:j][row].astype(np.uint64) * _C[0] + lo.astype(np.uint64)), h).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(route), pa.array(h.view(np.int64)), pa.array(doc[i:j][row]), pa.array(tie[i:j][row].astype(np.int32)), *(pa.array(c.astype(np.int32)) for c in (lo, hi)), pa.array(known)],
-                    ["route", "h", "doc", "tie", "lo", "hi", "known"],
-                )
+                state = known + (known & (first[inv] != np.arange(len(h))))
+                at = (lo.astype(np.int64) << 9) | ((hi - lo).astype(np.int64) << 2) | state
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[i:j][row]), pa.array(tie[i:j][row].astype(np.int32)), pa.array(at)], ["h", "doc", "tie", "at"])
 
     return run
 
 
 def _only_repeated(batches):
     """Rows, sorted by h, that are known to repeat or have the hash of a neighbour."""
-    names = ["doc", "tie", "h", "lo", "hi"]
     held = None
     for batch in batches:
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        h, keep_row = batch.column("h").to_numpy(), batch.column("known").to_numpy(zero_copy_only=False).copy()
+        h, at = batch.column("h").to_numpy(), batch.column("at").to_numpy().copy()
         equal = h[1:] == h[:-1]
-        keep_row[1:] |= equal
-        keep_row[:-1] |= equal
+        found = at & 3 > 0
+        found[1:] |= equal
+        found[:-1] |= equal
         n = len(h) - 1
         # the last row waits for its successor
-        held = batch.slice(n, 1)
-        if n and keep_row[n]:
-            held = held.set_column(6, held.schema.field(6), pa.array([True]))
-        out = batch.slice(0, n).filter(pa.array(keep_row[:n]))
+        at[n] |= found[n]
+        held = batch.slice(n, 1).set_column(3, batch.schema.field(3), pa.array(at[n:]))
+        out = batch.slice(0, n).filter(pa.array(found[:n]))
         if out.num_rows:
-            yield pa.RecordBatch.from_arrays([out.column(c) for c in names], names)
-    if held is not None and held.column("known")[0].as_py():
-        yield pa.RecordBatch.from_arrays([held.column(c) for c in names], names)
+            yield out
+    if held is not None and held.column("at")[0].as_py() & 3:
+        yield held
 
 
 def _binary(buf: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -245,7 +242,9 @@ def _settle(length: int):
             found = batch.column("found")
             at = np.asarray(found.offsets.to_numpy(), np.int64)
             flat = found.values
-            cols = [flat.field(c).to_numpy().astype(np.int64) for c in ("h", "lo", "hi")]
+            packed = flat.field("at").to_numpy()
+            lo = packed >> 9
+            cols = (flat.field("h").to_numpy(), lo, lo + ((packed >> 2) & 127))
             for i, j in pieces(offs, _BATCH):
                 a, b = at[i], at[j]
                 rows = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
@@ -302,18 +301,18 @@ def _final(length: int):
     def run(batches):
         for batch in batches:
             out = ([], [], [], [])
-            texts, shas, mine = (batch.column(c).to_pylist() for c in ("text", "sha", "own"))
-            for text, sha, own in zip(texts, shas, mine):
+            texts, shas, ties, found = (batch.column(c).to_pylist() for c in ("text", "sha", "tie", "ranges"))
+            for text, sha, tie, runs in zip(texts, shas, ties, found):
                 n = len(text)
-                own = next((x for x in own or () if x["sha"] == sha), None)
-                if own is None:  # equal to an earlier document
+                own = sorted((r["lo"], r["hi"]) for r in runs or () if r["tie"] == tie)
+                if tie is None:  # equal to an earlier document
                     whole = n >= length
                     removed, spans_n, kept = (n, 1, hashlib.sha256(b"").hexdigest()) if whole else (0, 0, sha)
-                elif not own["ranges"]:
+                elif not own:
                     removed, spans_n, kept = 0, 0, sha
                 else:
                     left, at, removed, spans_n, until = hashlib.sha256(), 0, 0, 0, -1
-                    for r in sorted((r["lo"], r["hi"]) for r in own["ranges"]):
+                    for r in own:
                         if r[0] > until:
                             left.update(text[at : r[0]])
                             spans_n += 1
@@ -344,20 +343,21 @@ def removal(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     once = rows
     if (heads.agg(F.max("n")).first()[0] or 0) > 1:  # rows are repeated: each document takes part once
         once = rows.dropDuplicates(["doc", "text"])
-    heads = heads.drop("n")
-
-    # the texts are shuffled by document once: the joins below read that exchange, so their keys are doc alone
-    of_head = F.contains(F.sha2("text", 256), F.col("sha"))
-    known = once.join(heads, "doc").where(of_head).select("doc", "tie", "text")
+    # one row for each doc_id, so that everything meets by doc alone: the texts are shuffled once, and the joins read that exchange
+    of_doc = heads.groupBy("doc").agg(F.collect_list(F.struct("sha", "tie")).alias("heads"))
+    mine = F.filter("heads", lambda x: x["sha"] == F.sha2("text", 256))
+    tie = F.get(mine, F.lit(0))["tie"]
+    known = once.join(of_doc, "doc").select("doc", tie.alias("tie"), "text").where("tie is not null")
     emitted = known.mapInArrow(_emit_anchors(length), _ANCHORS)
-    repeated = emitted.repartition("route").sortWithinPartitions("h").mapInArrow(_only_repeated, _CHECKED)
-    per_doc = repeated.groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("found"))
-    met = once.join(per_doc.join(heads, ["doc", "tie"]), "doc").where(of_head)
+    deal = F.when(F.col("at") % 4 == 2, F.xxhash64("doc", "at")).otherwise(F.col("h"))
+    repeated = emitted.repartition(deal).sortWithinPartitions("h").mapInArrow(_only_repeated, _ANCHORS)
+    per_doc = repeated.groupBy("doc").agg(F.collect_list(F.struct("tie", "h", "at")).alias("found"))
+    met = once.join(per_doc, "doc").join(of_doc, "doc").select("doc", tie.alias("tie"), "text", "found", F.size("heads").alias("n")).where("tie is not null")
+    met = met.withColumn("found", F.when(F.col("n") == 1, F.col("found")).otherwise(F.filter("found", lambda x: x["tie"] == F.col("tie")))).where(F.size("found") > 0)
     settled = met.select("doc", "tie", "text", "found").mapInArrow(_settle(length), _SETTLED)
     ranges = settled.repartition("route").sortWithinPartitions("route").mapInArrow(_refine(length), _RANGES)
-    found = ranges.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    own = heads.join(found, ["doc", "tie"], "left").groupBy("doc").agg(F.collect_list(F.struct("sha", "ranges")).alias("own"))
-    last = rows.join(own, "doc", "left").select("doc", "text", F.sha2("text", 256).alias("sha"), "own")
+    found = ranges.groupBy("doc").agg(F.collect_list(F.struct("tie", "lo", "hi")).alias("ranges"))
+    last = rows.join(of_doc.join(found, "doc", "left"), "doc", "left").select("doc", "text", F.sha2("text", 256).alias("sha"), tie.alias("tie"), "ranges")
     out = last.mapInArrow(_final(length), RESULT)
     alone = all_rows.where("doc is null").select(F.col("doc").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     return out.unionByName(alone)
