@@ -20,6 +20,7 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._store import keep
 from ._text import pieces as row_slices, text_buffers
@@ -159,7 +160,7 @@ def pack(found: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             arrays = [batch.column(c) for c in names] + [pa.array(base[at] + rank, pa.int64()), pa.array(offset[at], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, [*names, "sequence_id", "offset"])
 
-    schema = found.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*found.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return rows.mapInArrow(place, schema)
 
 
