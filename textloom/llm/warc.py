@@ -3,7 +3,7 @@
 A record is the value of one row and the blank line that ends it the line separator, so archives are
 written and committed like any table, in any store that Spark reaches, and read in splits.
 
-Reading, the magic line `WARC/1.1` after a blank line only marks a candidate: payloads may hold it. Each
+Reading, the magic `WARC/1.1` after a blank line only marks a candidate: payloads may hold it. Each
 task emits, for the candidates of its split, the offset of the successor that the declared lengths claim,
 and where a chain from each candidate leaves the split (pointer jumping over the task's own offsets).
 Those few exits are chased from the start of each file; inside a split, candidates that the chain does
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ._store import keep, new_path
 
-_MAGIC = "WARC/1.1\r\n"
+_MAGIC = "WARC/1.1"
 _BLANK = "\r\n\r\n"
 #: Revisits up to which their table is broadcast; beyond, pages and revisits meet by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -60,7 +60,7 @@ def write_archive(pages: DataFrame, path: str, *, least_bytes: int = 0, date: st
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     record = F.concat_ws(
         "\r\n",
-        F.lit(_MAGIC.strip()),
+        F.lit(_MAGIC),
         line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", F.coalesce(urn(F.col("page_id")), F.lit("<urn:page:>"))),
         line("WARC-Date", F.lit(date)),
@@ -104,29 +104,28 @@ class _Split:
         """parts: the text between magic lines, in order; those of one batch are checked together."""
         for k, part in enumerate(parts):
             size = len(_MAGIC) + len(part) + len(_BLANK)
-            cut = part.find(_BLANK.encode())
-            length = _field(b"\r\n" + part[:cut], b"Content-Length") if cut >= 0 else None
+            # the blank line after the header may lie in the separator, where the payload begins like one
+            cut = (part + _BLANK.encode()).find(_BLANK.encode())
+            head = part[:cut]
+            length = _field(head, b"Content-Length") if head.startswith(b"\r\n") else None
             if length is None or not length.isdigit():
                 self.rows.append((self.at, -1, size, None, None, None, None, None, None))
             else:
-                head, n = b"\r\n" + part[:cut], int(length)
-                body = part[cut + 4 :]
-                more = k + 1
-                if len(body) < n and more < len(parts):  # magic inside the payload, or a false claim
-                    pieces, have = [body], len(body)
-                    while have < n and more < len(parts):
-                        pieces.append((_BLANK + _MAGIC).encode() + parts[more])
-                        have += len(pieces[-1])
-                        more += 1
-                    body = b"".join(pieces)
+                n, more = int(length), k + 1
+                found, have = [part], len(part)
+                while have < cut + 4 + n and more < len(parts):  # magic inside the payload, or a false claim
+                    found.append((_BLANK + _MAGIC).encode() + parts[more])
+                    have += len(found[-1])
+                    more += 1
+                body = b"".join(found)[cut + 4 :]
                 kind = (_field(head, b"WARC-Type") or b"").decode("utf-8", "replace")
                 claimed = (_field(head, b"WARC-Payload-Digest") or b"").decode("ascii", "replace").removeprefix("sha1:")
                 full = _field(head, b"X-Payload-Length")
                 ok = None
                 if kind == "response" and len(body) >= n:
-                    found = base64.b32encode(hashlib.sha1(body[:n]).digest()).decode()
-                    ok, claimed = found == claimed, found
-                self.rows.append((self.at, self.at + len(_MAGIC) + cut + 4 + n + len(_BLANK), size, kind, _page(_field(head, b"WARC-Record-ID")), _page(_field(head, b"WARC-Refers-To")), int(full) if kind == "revisit" and full and full.isdigit() else n, claimed, ok))
+                    own = base64.b32encode(hashlib.sha1(body[:n]).digest()).decode()
+                    ok, claimed = own == claimed, own
+                self.rows.append((self.at, self.at + len(_MAGIC) + len(head) + 4 + n + len(_BLANK), size, kind, _page(_field(head, b"WARC-Record-ID")), _page(_field(head, b"WARC-Refers-To")), int(full) if kind == "revisit" and full and full.isdigit() else n, claimed, ok))
             self.at += size
 
     def batch(self) -> pa.RecordBatch:
