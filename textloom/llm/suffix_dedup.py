@@ -165,7 +165,7 @@ def _emit_anchors(length: int):
                     continue
                 _, first, inv, many = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 known = many[inv] > 1
-                state = known + (known & (first[inv] != np.arange(len(h))))
+                state = known.astype(np.int64) + (known & (first[inv] != np.arange(len(h))))
                 at = (lo.astype(np.int64) << 9) | ((hi - lo).astype(np.int64) << 2) | state
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[i:j][row]), pa.array(tie[i:j][row].astype(np.int32)), pa.array(at)], ["h", "doc", "tie", "at"])
 
