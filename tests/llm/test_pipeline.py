@@ -1,6 +1,7 @@
+import random
+
 import corpus_pipeline as P
 import pytest
-from textloom.llm import quality
 
 from .util import docs, prose
 
@@ -10,10 +11,12 @@ HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("sf"))
-    good = [prose(k, 150) for k in range(40)]
-    bad = [" ".join(w + "&&&%%%" for w in prose(90 + k, 80).split()) for k in range(40)]
-    items = [(0, prose(500, 40)), (1, prose(501, 40))]
-    extra = [good[0], good[1] + " tail", prose(600, 30) + " " + items[0][1] + " " + items[1][1], prose(601, 90) + f' token = "{HEX}"', None, ""]
+    words = prose(1, 600).split()
+    text = lambda seed, n: " ".join(random.Random(seed).choices(words, k=n))
+    good = [text(k, 150) for k in range(40)]
+    bad = [" ".join(w + "&&&%%%" for w in text(90 + k, 80).split()) for k in range(40)]
+    items = [(0, text(500, 40)), (1, text(501, 40))]
+    extra = [good[0], good[1] + " tail", text(600, 30) + " " + items[0][1] + " " + items[1][1], text(601, 90) + f' token = "{HEX}"']
     docs(spark, good + bad + extra).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(i, int(i < 40), 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -12,8 +13,9 @@ LABELS = "doc_id long, quality int, toxic int"
 
 @pytest.fixture(scope="module")
 def model(spark):
-    good = [prose(k % 7, 120) for k in range(60)]
-    bad = [" ".join(w + "&&&%%%" for w in prose(90 + k % 7, 60).split()) for k in range(60)]
+    words = prose(1, 600).split()
+    good = [" ".join(random.Random(k).choices(words, k=120)) for k in range(60)]
+    bad = [" ".join(w + "&&&%%%" for w in random.Random(k).choices(words, k=60)) for k in range(60, 120)]
     df = docs(spark, good + bad)
     labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)] + [(5, None, 0), (999, 1, 0), (None, 0, 0)], LABELS)
     return df, labels, fit(df, labels)

@@ -199,3 +199,21 @@ def test_incremental_refresh_resumes(spark, tmp_path):
     spark.createDataFrame([("b", 2), ("c", 2)], schema).coalesce(1).write.mode("append").parquet(source)
     done = incremental.refresh(spark, source, schema, out, at, "k", work)
     assert seen == [["a", "b"], ["c"]] and sorted(r.k for r in done.collect()) == ["a", "b", "c"]
+
+
+def test_answers():
+    from textloom.functions import answers as A
+
+    assert [A.unwrap(x) for x in ('```json\n["a"]\n```', '{"translation": "b", "x": "y"}', '{"q": "c"}', '"d"', "「e」", "plain", '["a","b"]', '{"a":"1","b":"2"}')] == ["a", "b", "c", "d", "e", "plain", '["a","b"]', '{"a":"1","b":"2"}']
+    assert A.array_of('["x"] ["a","b"] ["c","d"] [1]', 2) == ["c", "d"] and A.array_of('["x"] y', 2) == ["x"] and A.array_of("none [1", 2) is None
+    assert A.name_list('```json\n[["Al", " Bo "], "Al", {"n": "Cy"}]\n```') == ["Al", "Bo", "Cy"] and A.name_list("no") == []
+
+
+def test_catalog(spark):
+    from textloom.sources import catalog
+
+    found = spark.createDataFrame([("a", "x/B.rpy", 2, 1), ("b", "X/b.rpyc", 1, 5), ("c", "x/b.rpy", 1, 7), ("d", "y.rpy", 1, 9)], "id string, name string, archive_rank int, pos int")
+    assert [r.id for r in catalog.lookup(found, "x/b.rpy").collect()] == ["c"]
+    tree = spark.createDataFrame([("deep/lib/a.rpy",), ("app/s.rpy",)], "rel string")
+    assert [r.rel for r in catalog.scripts(tree).collect()] == ["app/s.rpy"]
+    assert catalog.root_of(tree).first().root == "/app"

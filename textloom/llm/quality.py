@@ -13,7 +13,7 @@ alone.
 
 Defined cases: a null or empty text has the feature 0, and so the calibrated score of a text that
 neither dictionary favours; labels other than 0 and 1 are ignored; without labels of both classes every
-score is 1 if there is no bad label, else 0; repeated rows get equal scores; a very long text is
+score is 1 if there is no bad label, else 0; where the dictionaries tell nothing, it is the share of good labels; repeated rows get equal scores; a very long text is
 compressed whole, block by block; columns pass through `accepted` unchanged.
 """
 
@@ -120,6 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     bad, good = model.compressors()
     rest = [(t, q) for q, x in texts.items() for t in (x[cut[q] :] or x)]
     slope, intercept = _logistic(np.array([feature(t, bad, good) for t, _ in rest]), np.array([q for _, q in rest]))
+    if slope <= 0:  # too little text to tell the classes apart
+        slope = intercept = 0.0
     return Model(model.good, model.bad, slope, intercept + math.log(counts[1] / counts[0]))
 
 
