@@ -28,8 +28,8 @@ from .tokens import chunks
 
 CAPACITY = 2048
 END_ID = 0
-#: Ranks are dealt in so many parts of each length.
-_PARTS = 64
+#: Ranks are dealt in so many parts of each length at least, and in one for so many pieces.
+_PARTS, _PART_ROWS = 64, 1 << 19
 #: Fillings that a search looks at before it keeps its incumbent.
 _NODES = 4000
 
@@ -143,7 +143,8 @@ def pack(found: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     spark = found.sparkSession
     histogram = {r[0]: r[1] for r in found.groupBy("length").count().toLocalIterator()}  # capacity rows at most
     runs = spark.sparkContext.broadcast(_runs(plan(histogram, capacity)))
-    dealt = found.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(_PARTS)).cast("int"))
+    parts = max(_PARTS, -(-sum(histogram.values()) // _PART_ROWS))
+    dealt = found.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     counts = dealt.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = counts.select("length", "_part", (F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).alias("_before"))
     own = Window.partitionBy("length", "_part").orderBy(*[c for c in found.columns if c not in ("length", "ids")])
