@@ -16,7 +16,7 @@ def folder(spark, tmp_path_factory):
     good = [text(k, 150) for k in range(40)]
     bad = [" ".join(w + "&&&%%%" for w in text(90 + k, 80).split()) for k in range(40)]
     items = [(0, text(500, 40)), (1, text(501, 40))]
-    extra = [good[0], good[1] + " tail", text(600, 30) + " " + items[0][1] + " " + items[1][1], text(601, 90) + f' token = "{HEX}"']
+    extra = [good[0], good[1] + " tail", text(600, 30) + " " + items[0][1] + " " + items[1][1], text(601, 90) + f' token = "{HEX}"', text(602, 60) + " " + items[0][1][: items[0][1].rfind(" ")]]
     docs(spark, good + bad + extra).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(i, int(i < 40), 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
@@ -42,7 +42,7 @@ def test_stages_take_effect(spark, folder):
         elif name == "near-dedup":
             assert {80, 81} <= gone and not gone & set(range(40))
         elif name == "benchmark decontamination":
-            assert gone == {82}
+            assert gone == {82, 84}  # a passage of one item is a leak too
         elif name == "secret scans":
             assert not gone and HEX not in after[83].text and after[83].n_chars == len(after[83].text)
     assert seen == ["quality classifier", "near-dedup", "benchmark decontamination", "secret scans", "best-fit packing"]
@@ -50,7 +50,7 @@ def test_stages_take_effect(spark, folder):
 
 def test_run_is_its_stages(spark, folder):
     rows = P.run(spark, folder).collect()
-    assert rows and all(r.length <= 2048 for r in rows) and 82 not in {r.doc_id for r in rows}
+    assert rows and all(r.length <= 2048 for r in rows) and not {82, 84} & {r.doc_id for r in rows}
 
 
 def test_entry_registers_every_operator():
