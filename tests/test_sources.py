@@ -214,6 +214,6 @@ def test_catalog(spark):
 
     found = spark.createDataFrame([("a", "x/B.rpy", 2, 1), ("b", "X/b.rpyc", 1, 5), ("c", "x/b.rpy", 1, 7), ("d", "y.rpy", 1, 9)], "id string, name string, archive_rank int, pos int")
     assert [r.id for r in catalog.lookup(found, "x/b.rpy").collect()] == ["c"]
-    tree = spark.createDataFrame([("deep/lib/a.rpy",), ("app/s.rpy",)], "rel string")
-    assert [r.rel for r in catalog.scripts(tree).collect()] == ["app/s.rpy"]
+    tree = spark.createDataFrame([("deep/lib/a.rpy",), ("app/s.rpy",), ("app/TL/fr/s.rpy",), ("app/.git/s.rpy",), ("app/logs/t.rpy",), ("app/tmp/t.rpy",), ("app/zz_x.rpy",)], "rel string")
+    assert [r.rel for r in catalog.scripts(tree).collect()] == ["app/logs/t.rpy", "app/s.rpy", "app/tmp/t.rpy"]
     assert catalog.root_of(tree).first().root == "/app"

@@ -64,7 +64,7 @@ def _tree(spark, d):
     return V.table(spark, d, "pages").select(rel.alias("rel"))
 
 
-@query(f"SELECT rel, CASE WHEN rel LIKE '%c' THEN 'compiled' ELSE 'source' END AS kind FROM (SELECT page_id, {_REL} AS rel FROM pages) WHERE page_id % 5 < 2")
+@query(f"SELECT rel, CASE WHEN rel LIKE '%c' THEN 'compiled' ELSE 'source' END AS kind FROM (SELECT page_id, {_REL} AS rel FROM pages) WHERE page_id % 5 = 0")
 def script_scan(spark, d):
     return catalog.scripts(_tree(spark, d)).select("rel", "kind")
 

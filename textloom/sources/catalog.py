@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.keys import keep_first
 
-PRUNED = ("cache", "saves", "log", "logs", "errors", "tmp", "renpy", "lib", "__pycache__")
+# Names of folders that hold no sources, whatever their case.
+PRUNED = ("tl", "renpy", "cache", "saves", "log", "errors", "__pycache__", ".git", "lib")
 SCRIPT = r"(?i)\.rpym?c?$"
 
 
