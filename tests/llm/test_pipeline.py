@@ -48,6 +48,13 @@ def test_stages_take_effect(spark, folder):
     assert seen == ["quality classifier", "near-dedup", "benchmark decontamination", "secret scans", "best-fit packing"]
 
 
+def test_near_dedup_stage_links_from_80_percent(spark):
+    words = [f"w{k}" for k in range(104)]
+    a, b = " ".join(words), " ".join(words[:94] + [f"v{k}" for k in range(10)])  # 90 shingles of a union of 110: 0.818
+    rows = P.deduplicated(spark, docs(spark, [a, b, prose(5, 80)]), "").collect()
+    assert sorted(r.doc_id for r in rows) == [0, 2]
+
+
 def test_run_is_its_stages(spark, folder):
     rows = P.run(spark, folder).collect()
     assert rows and all(r.length <= 2048 for r in rows) and not {82, 84} & {r.doc_id for r in rows}
