@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from textloom.llm.op3 import tokenizer_path
-from textloom.llm.packing import packed, plan
+from textloom.llm.packing import best_fit, lower_bound, packed, plan
 
 from .util import EDGES, docs, prose
 
@@ -93,3 +93,53 @@ def test_plan_of_many_lengths_reaches_the_bound():
     sizes = Counter(min(2048, int(r.expovariate(1 / 700)) + 1) for _ in range(100_000))
     made = plan(sizes)
     assert sum(t for _, t in made) <= -(-sum(k * n for k, n in sizes.items()) // 2048) * 1.001
+
+
+def least(sizes, capacity):
+    best = len(sizes)
+
+    def search(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for i, room in enumerate(rooms):
+            if room >= sizes[k]:
+                search(k + 1, [*rooms[:i], room - sizes[k], *rooms[i + 1 :]])
+        search(k + 1, [*rooms, capacity - sizes[k]])
+
+    search(0, [])
+    return best
+
+
+def test_plan_goes_back_where_the_first_filling_is_not_the_best():
+    made = plan(Counter([13, 11, 11, 6, 6, 4, 4, 3]), 20)
+    assert sum(times for _, times in made) == 3
+
+
+def test_plan_is_the_optimum_of_small_jobs():
+    for seed in range(400):
+        r = random.Random(seed)
+        sizes = sorted((r.randint(2, r.choice([9, 13, 20])) for _ in range(r.randint(6, 11))), reverse=True)
+        made, best = plan(Counter(sizes), 20), least(sizes, 20)
+        assert Counter(x for members, times in made for x in members * times) == Counter(sizes)
+        assert all(sum(members) <= 20 for members, _ in made)
+        assert sum(times for _, times in made) == best >= lower_bound(Counter(sizes), 20), sizes
+
+
+def test_best_fit_in_bulk_is_best_fit_of_single_pieces():
+    for seed in range(100):
+        r = random.Random(seed)
+        sizes = Counter(r.randint(1, 60) for _ in range(300))
+        rooms = []
+        for k in sorted(sizes.elements(), reverse=True):
+            i = min((i for i, room in enumerate(rooms) if room >= k), key=lambda i: rooms[i], default=None)
+            if i is None:
+                rooms.append(100 - k)
+            else:
+                rooms[i] -= k
+        made = best_fit(sizes, 100)
+        assert Counter(x for members, times in made for x in members * times) == sizes
+        assert sorted(100 - sum(members) for members, times in made for _ in range(times)) == sorted(rooms)

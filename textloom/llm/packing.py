@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents into sequences, by bin completion.
 
 Only the histogram of piece lengths (at most `capacity` numbers, whatever the corpus) reaches the
-driver. There bin completion runs over lengths: around the largest length left, fillings are
-enumerated from the largest member down by branch and bound; a filling with as much waste as the
-incumbent is pruned, one without waste ends the search, and a filling is used for as many sequences
-as the counts allow. The plan goes back as runs "ranks a..b of length n begin at offset o of
+driver. There fillings of least waste around the largest length left are used in bulk, for as many
+sequences as the counts allow; best-fit decreasing gives another plan. The better one is the incumbent.
+Where it opens more sequences than the lower bound, bin completion packs its last pieces again: it
+branches over the undominated fillings of each sequence, and prunes by the waste that a better plan
+may have, until the bound is met or its budget spent. The plan goes back as runs "ranks a..b of length n begin at offset o of
 sequences s, s + 1, ..." and each piece finds its run by its rank among pieces of its length.
 
 Defined cases: a null or empty text is one piece that holds the end id alone; a text of exactly the
@@ -15,7 +16,7 @@ repeated rows are packed once each; no rows give no sequences.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ END_ID = 0
 _PARTS, _PART_ROWS = 64, 1 << 19
 #: Fillings that a search looks at before it keeps its incumbent.
 _NODES = 4000
+#: Pieces that are packed again by branching where a plan is over the lower bound, and fillings that this looks at.
+_BRANCHED, _LOOKS = 96, 200_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -105,8 +108,8 @@ def completion(largest: int, left: dict[int, int], sizes: list[int], capacity: i
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths of one sequence, how many such sequences), largest member first."""
+def _greedy(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """A plan of least-waste fillings around the largest length left, in bulk."""
     left = {k: n for k, n in histogram.items() if n > 0}
     sizes = sorted(left)
     out = []
@@ -122,6 +125,163 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
     return out
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """The plan of best-fit decreasing, in bulk."""
+    open_: dict[int, list[tuple[list[int], int]]] = {}
+    rooms: list[int] = []
+
+    def put(members: list[int], times: int, room: int) -> None:
+        if times:
+            if room not in open_:
+                open_[room] = []
+                insort(rooms, room)
+            open_[room].append((members, times))
+
+    for size in sorted((k for k, n in histogram.items() if n > 0), reverse=True):
+        n = histogram[size]
+        while n:
+            at = bisect_left(rooms, size)
+            if at < len(rooms):
+                room = rooms[at]
+                members, times = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            else:
+                room, members, times = capacity, [], -(-n // (capacity // size))
+            # a sequence with a piece of this size is the tightest for the next one, until none fits
+            each = room // size
+            full = min(times, n // each)
+            put(members + [size] * each, full, room - each * size)
+            n -= full * each
+            if full < times:
+                put(members + [size] * n, int(n > 0), room - n * size)
+                put(members, times - full - (n > 0), room) if members else None
+                n = 0
+    return [x for room in rooms for x in open_[room]]
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that any plan needs: by the total, and by lengths that exclude each other (Martello and Toth's L2)."""
+    sizes = sorted(k for k, n in histogram.items() if n > 0)
+    count, total = [0], [0]
+    for k in sizes:
+        count.append(count[-1] + histogram[k])
+        total.append(total[-1] + k * histogram[k])
+    best = -(-total[-1] // capacity)
+    half = bisect_right(sizes, capacity // 2)
+    for least in [0, *sizes[:half]]:
+        low, high = bisect_left(sizes, least), bisect_right(sizes, capacity - least)
+        over = total[half] - total[low] - ((count[high] - count[half]) * capacity - (total[high] - total[half]))
+        best = max(best, count[-1] - count[half] + max(0, -(-over // capacity)))
+    return best
+
+
+def _dominated(members: list[int], room: int, left: dict[int, int]) -> bool:
+    """Whether a piece outside takes the place of some members (two or more, or smaller ones) and fits; the first member stays."""
+    sums = several = 0  # bit t: some members, two or more of them, are t long together
+    singles = 0
+    for k in members[1:]:
+        several |= (several | singles) << k
+        singles |= 1 << k
+    sums = 1 | singles | several
+    for y, n in left.items():
+        if n > members.count(y):
+            low = max(0, y - room)
+            if several >> y & 1 or low < y and sums >> low & ((1 << (y - low)) - 1):
+                return True
+    return False
+
+
+def branched(histogram: dict[int, int], capacity: int, incumbent: list[list[int]], bound: int, budget: int) -> list[list[int]]:
+    """The least sequences by bin completion, or the best found when `budget` looks are spent.
+
+    Branches over the undominated fillings around the largest length left, least waste first; waste that no
+    better plan than the incumbent can have ends a branch, a plan of `bound` sequences the search.
+    """
+    left = dict(histogram)
+    best, made, looked = incumbent, [], 0
+    rest = sum(k * n for k, n in left.items())
+
+    def fillings(largest: int, waste: int) -> list[tuple[int, list[int]]]:
+        sizes = sorted(k for k, n in left.items() if n)
+        out, chosen = [], [largest]
+
+        def extend(at: int, room: int) -> None:
+            nonlocal looked
+            looked += 1
+            if looked > budget:
+                return
+            if room <= waste and not _dominated(chosen, room, left):
+                out.append((room, list(chosen)))
+            for i in range(min(at, bisect_right(sizes, room) - 1), -1, -1):
+                k = sizes[i]
+                if left[k] > chosen.count(k):
+                    chosen.append(k)
+                    extend(i, room - k)
+                    chosen.pop()
+
+        extend(len(sizes) - 1, capacity - largest)
+        return sorted(out, key=lambda x: x[0])
+
+    def search() -> None:
+        nonlocal best, rest
+        largest = max((k for k, n in left.items() if n), default=0)
+        if not largest:
+            if len(made) < len(best):
+                best = list(made)
+            return
+        waste = (len(best) - 1 - len(made)) * capacity - rest
+        for room, members in fillings(largest, waste) if waste >= 0 else ():
+            if len(best) <= bound or room > (len(best) - 1 - len(made)) * capacity - rest:
+                break
+            for k in members:
+                left[k] -= 1
+            rest -= sum(members)
+            made.append(members)
+            search()
+            made.pop()
+            rest += sum(members)
+            for k in members:
+                left[k] += 1
+            if looked > budget:
+                break
+
+    search()
+    return best
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """(lengths of one sequence, how many such sequences), largest member first.
+
+    The better of the least-waste and the best-fit-decreasing plan; where it is over the lower bound, its last
+    sequences of up to _BRANCHED pieces (a small job is branched whole) are packed again by branched().
+    """
+    bound = lower_bound(histogram, capacity)
+    made = lambda planned: sum(times for _, times in planned)
+    best = _greedy(histogram, capacity)
+    if made(best) > bound:
+        best = min(best, best_fit(histogram, capacity), key=made)
+    if made(best) > bound:
+        # sequences with the most room last, as they are worth opening
+        fixed = sorted(best, key=lambda x: capacity - sum(x[0]))
+        opened: list[list[int]] = []
+        pieces = 0
+        while fixed and pieces + len(fixed[-1][0]) <= _BRANCHED:
+            members, times = fixed.pop()
+            taken = min(times, (_BRANCHED - pieces) // len(members))
+            opened += [members] * taken
+            pieces += taken * len(members)
+            if taken < times:
+                fixed.append((members, times - taken))
+        again: dict[int, int] = {}
+        for members in opened:
+            for k in members:
+                again[k] = again.get(k, 0) + 1
+        least = max(lower_bound(again, capacity), bound - made(fixed))
+        best = fixed + [(members, 1) for members in branched(again, capacity, opened, least, _LOOKS)]
+    return best
+
+
 def _runs(planned: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys (length, first rank), and per run its first sequence less that rank, and its offset."""
     rank: dict[int, int] = {}
