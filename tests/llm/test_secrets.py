@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from textloom.llm.secrets import guess_cost, redact, redacted, scanned, spans
@@ -60,3 +61,14 @@ def test_redaction(spark):
     assert redacted(df).columns == df.columns and [r.text for r in rows] == [None, "", "k <secret>"] and rows[2].n_chars == 10 and rows[2].score == 0.5
     assert redacted(docs(spark, [])).collect() == [] and scanned(docs(spark, [])).collect() == []
     assert scanned(docs(spark, TEXTS[:1] * 3, [4, 4, 4])).distinct().count() == 1
+
+
+def guessed(text):
+    return [text[a:b] for a, k, b in spans(text) if k == 3]
+
+
+def test_brute_force_is_priced_by_the_alphabet_it_mixes():
+    assert abs(guess_cost("Zk8wQ2mP") - 8 * math.log10(62)) < 1e-9 and abs(guess_cost("kqzvxwmj") - 8 * math.log10(26)) < 1e-9
+    assert guessed("the password is Zk8wQ2mP") == ["Zk8wQ2mP"]
+    assert guessed("passphrase: kqzvxwmjtrplfghdnb") == ["kqzvxwmjtrplfghdnb"] and guessed("passphrase = KQZVXWMJTRPLFGHDNB.") == ["KQZVXWMJTRPLFGHDNB"]
+    assert guessed("passphrase: password2024") == guessed("the login international community") == []

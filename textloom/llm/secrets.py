@@ -5,7 +5,8 @@ are dropped. The method adds spans of kind `guess`: a value that stands after a
 passphrase, pin, credentials, auth, bearer, private key ... or a base word in a form that `assign` does
 not take) is cut into the cheapest sequence of common words, dates, repeats, keyboard walks and
 brute-force spans; the product of their guesses, in log10, is its cost. A value whose cost reaches
-`least_cost` cannot be guessed and is reported. Base spans stay whatever their cost.
+`least_cost` cannot be guessed and is reported. Base spans stay whatever their cost. After a space alone
+(no ':' or '='), letters of one case without digits count as prose and are not reported.
 
 Defined cases: null and empty texts have no spans (base_sha256 is that of the empty string); spans count
 code points, end exclusive; overlapping spans of different kinds are all reported, and redaction merges
@@ -52,11 +53,29 @@ _LEET = str.maketrans("@4301$5!7", "aaeoissit")
 _SPAN = 32
 
 
+def _kind(c: str) -> int:
+    return 1 if c.isdigit() else 2 if c.islower() else 4 if c.isupper() else 8
+
+
+#: Guesses of a character by the kinds that a brute-force span mixes: digits, lower case, upper case, others.
+_ALPHABET = [sum(n for k, n in enumerate((10, 26, 26, 33)) if mask >> k & 1) for mask in range(16)]
+
+
 def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation of value."""
+    """log10 of the guesses of the cheapest segmentation of value.
+
+    Two brute-force spans never meet: what lies between two patterns is one span, priced by the alphabet it mixes.
+    """
     n = len(value)
     low = value.lower()
+    if len(low) != n:  # a few letters grow in lower case
+        low = value
     plain = low.translate(_LEET)
+    kinds = [_kind(c) for c in value]
+    masks = [m for m in range(1, 16) if not m & ~sum(set(kinds))]
+    price = {m: math.log10(_ALPHABET[m]) for m in masks}
+    brute = dict.fromkeys(masks, math.inf)  # cheapest that ends here in a span over the alphabet
+    pattern = [0.0] + [math.inf] * n  # cheapest that ends in a pattern, or at the start
     best = [0.0] + [math.inf] * n
     dates: dict[int, list[int]] = {}
     for i in range(n):
@@ -64,9 +83,9 @@ def guess_cost(value: str) -> float:
             dates.setdefault(m.end(), []).append(i)
     walk = repeat = 1
     for end in range(1, n + 1):
-        c = value[end - 1]
-        size = 10 if c.isdigit() else 26 if c.isalpha() else 33
-        cost = best[end - 1] + math.log10(size)
+        kind = kinds[end - 1]
+        brute = {m: min(pattern[end - 1], brute[m]) + price[m] if m & kind else math.inf for m in masks}
+        cost = math.inf
         for k in range(2, min(end, _LONGEST) + 1):
             word = plain[end - k : end]
             if rank := _WORDS.get(word):
@@ -79,10 +98,11 @@ def guess_cost(value: str) -> float:
             repeat = repeat + 1 if value[end - 1] == value[end - 2] else 1
             walk = walk + 1 if (low[end - 2], low[end - 1]) in _NEXT else 1
         for k in range(3, min(repeat, _SPAN) + 1):
-            cost = min(cost, best[end - k] + math.log10(size * k))
+            cost = min(cost, best[end - k] + math.log10(_ALPHABET[kind] * k))
         for k in range(3, min(walk, _SPAN) + 1):
             cost = min(cost, best[end - k] + math.log10(94 * 4 * k))
-        best[end] = cost
+        pattern[end] = cost
+        best[end] = min(cost, *brute.values())
     return best[n]
 
 
@@ -101,7 +121,8 @@ def spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int, int
         value = text[a:b]
         # prose after a credential word has letters of one case only
         mixed = any(c.isdigit() for c in value) or not value[1:].islower() and not value.isupper() and any(c.isupper() for c in value[1:])
-        if b - a >= 8 and value.isascii() and mixed and guess_cost(value) >= least_cost:
+        assigned = any(c in ":=" for c in text[m.start() : a])
+        if b - a >= 8 and value.isascii() and (assigned or mixed) and guess_cost(value) >= least_cost:
             out.append((a, 3, b))
     return sorted(out)
 
