@@ -72,3 +72,16 @@ def test_brute_force_is_priced_by_the_alphabet_it_mixes():
     assert guessed("the password is Zk8wQ2mP") == ["Zk8wQ2mP"]
     assert guessed("passphrase: kqzvxwmjtrplfghdnb") == ["kqzvxwmjtrplfghdnb"] and guessed("passphrase = KQZVXWMJTRPLFGHDNB.") == ["KQZVXWMJTRPLFGHDNB"]
     assert guessed("passphrase: password2024") == guessed("the login international community") == []
+
+
+def test_values_after_a_second_credential_word():
+    value = "Zk8wQ2mP5xT1vB"
+    for text in ("login password is {}", "login credentials: {}", "login: credentials: {}", "login my-password: {}", "password password password {}", "db_passphrase = {}", "AUTH_PWD={}", "PGPWD={}", "the pin is {}"):
+        assert guessed(text.format(value)) == [value], text
+    assert guessed(f"spin {value}") == guessed(f"the bypass {value}") == []
+    assert redact(f"login credentials: {value}.") == "login credentials: <secret>."
+
+
+def test_chained_contexts_take_linear_time():
+    for text in ("login " + "token=" * 200_000 + "\u00e9", "login " + "token-" * 200_000, "password " * 100_000):
+        spans(text)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -32,11 +33,15 @@ _FLAGS = re.ASCII
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _FLAGS | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}", _FLAGS)
 _HEX = re.compile(r"[0-9a-f]{16,}", _FLAGS)
-#: A value in a credential context: the word, up to three joining words or signs, then the value.
+_CREDENTIAL = r"(?:pass(?:word|wd|phrase|code)?|pwd|(?<![A-Za-z0-9])pin|login|credentials?|secret|token|auth(?:orization)?|bearer|api[ _-]?key|private[ _-]?key|access[ _-]?key)"
+#: A value in a credential context: the word, up to two joining words, a sign or spaces, then the value.
 _CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|login|credentials?|secret|token|auth(?:orization)?|bearer|api[ _-]?key|private[ _-]?key|access[ _-]?key)["']?(?:\x20(?:is|was|for|to)){0,2}(?:\x20*[:=]\x20*|\x20+)["']?([^\s"'<>,;]{8,})""",
+    _CREDENTIAL + r"""["']?(?:\x20(?:is|was|for|to)){0,2}(\x20*[:=]\x20*|\x20+)["']?([^\s"'<>,;]{8,})""",
     _FLAGS | re.IGNORECASE,
 )
+_NAME = re.compile(rf"(?:[A-Za-z0-9]*_)*{_CREDENTIAL}", _FLAGS | re.IGNORECASE)
+#: Of a value that is not reported, so many characters at its end may open the next context.
+_AGAIN = 64
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d", _FLAGS)
 _WORDS = {
     w: rank
@@ -106,6 +111,26 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _guessed(text: str, least_cost: float) -> Iterator[tuple[int, int]]:
+    """Values in a credential context that cost least_cost at least."""
+    at = 0
+    while m := _CONTEXT.search(text, at):
+        a, b = m.span(2)
+        at = max(a, b - _AGAIN)
+        assigned = ":" in m[1] or "=" in m[1]
+        before = text[m.start() - 1 : m.start()]
+        if not assigned and before.isascii() and before.isalnum():
+            continue  # the end of another word
+        while b > a and text[b - 1] in ".,:;!?)]}":
+            b -= 1
+        value = text[a:b]
+        # prose after a credential word and a space has letters of one case only
+        mixed = any(c.isdigit() for c in value) or not value[1:].islower() and not value.isupper() and any(c.isupper() for c in value[1:])
+        if b - a >= 8 and value.isascii() and (assigned or mixed) and not _NAME.fullmatch(value) and guess_cost(value) >= least_cost:
+            yield a, b
+            at = m.end(2)
+
+
 def spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int, int]]:
     """(start, index of kind, end), sorted."""
     out = []
@@ -114,16 +139,7 @@ def spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int, int
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    for m in _CONTEXT.finditer(text):
-        a, b = m.span(1)
-        while b > a and text[b - 1] in ".,:;!?)]}":
-            b -= 1
-        value = text[a:b]
-        # prose after a credential word has letters of one case only
-        mixed = any(c.isdigit() for c in value) or not value[1:].islower() and not value.isupper() and any(c.isupper() for c in value[1:])
-        assigned = any(c in ":=" for c in text[m.start() : a])
-        if b - a >= 8 and value.isascii() and (assigned or mixed) and guess_cost(value) >= least_cost:
-            out.append((a, 3, b))
+    out += [(a, 3, b) for a, b in _guessed(text, least_cost)]
     return sorted(out)
 
 
