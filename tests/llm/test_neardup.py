@@ -103,3 +103,29 @@ def test_components(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[k] == 0 for k in range(61)) and found[103] == found[101] == found[100] == 100 and all(found[200 + k] == 200 for k in range(40))
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sets_about_the_size_of_a_sketch(spark, percent):
+    rows = []
+    for rep in range(6 if percent == 80 else 40):
+        for a in range(60, 65):
+            for b in range(64, 81):
+                if a * 100 >= percent * b:
+                    words = [f"w{rep}x{a}x{b}x{k}" for k in range(b + 4)]
+                    rows += [(len(rows), " ".join(words[: a + 4])), (len(rows) + 1, " ".join(words))]
+    df = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    want = [(i, len(t.split()) - 4, i & ~1, not i & 1) for i, t in rows]
+    assert got(N.clusters(df, percent=percent)) == want
+
+
+def test_least_shared_is_safe():
+    rng = np.random.default_rng(2)
+    for percent in (80, 85):
+        for size in range(40, 64):
+            for n in range(size, 100 * size // percent + 1):
+                least = -(-percent * (size + n) // (100 + percent))
+                whole = np.arange(n) < least  # values in common, dealt over the ranks of the partner
+                for _ in range(20):
+                    assert rng.permutation(whole)[:64].sum() >= N.least_shared(size, 64, percent)
+                assert least - max(0, n - 64) >= N.least_shared(size, 64, percent)

@@ -9,7 +9,8 @@ of them; a document with fewer keeps its whole set.
    ordered by how many representatives retain them. Two sets of similarity t share about t * k of the
    k smallest values of their union, so among the k - o + 1 rarest values of both sketches there is a
    common one, where o is the overlap that a pair over the threshold keeps but for a chance below
-   1e-9 (union-sketch estimation; exact where the sketch is the set).
+   1e-9 (union-sketch estimation; exact where one sketch is the whole set, less what a larger
+   partner's sketch leaves out).
 3. Values link documents into families of possible partners (components of the lists). Only texts of
    families are shuffled (a filter of a fixed size holds back most of the others).
 4. In a family all exact intersections are counted at once on full sets, as products of blocks of the
@@ -55,6 +56,15 @@ def least_overlap(k: int, percent: int) -> int:
     return max(1, o)
 
 
+def least_shared(size: int, k: int, percent: int) -> int:
+    """The least values that the sketch of a set of `size` shingles (k of them at most) shares with that of a linked partner."""
+    if size >= k:
+        return least_overlap(k, percent)
+    # a partner of at most k shingles is whole; a larger one leaves out n - k values, all of them common ones at worst
+    larger = range(k + 1, 100 * size // percent + 1)
+    return max(1, min([-(-size * percent // 100), *(-(-percent * (size + n) // (100 + percent)) - (n - k) for n in larger)]))
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int):
     """The sorted distinct shingle hashes of each row."""
     s, e, woffs = words(data, offs, NON_SPACE)
@@ -102,7 +112,7 @@ def _families(sketches: DataFrame, percent: int, k: int) -> DataFrame:
     values = sketches.select("doc_id", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     known = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = values.join(known, "value")
-    need = [least_overlap(k, percent) if size == k else max(1, -(-size * percent // 100)) for size in range(k + 1)]
+    need = [least_shared(size, k, percent) for size in range(k + 1)]
     overlap = F.element_at(F.array(*[F.lit(x) for x in need]), F.col("k") + 1)
     prefix = F.col("k") - overlap + 1
     own = shared.groupBy("doc_id", "k").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
