@@ -129,3 +129,16 @@ def test_least_shared_is_safe():
                 for _ in range(20):
                     assert rng.permutation(whole)[:64].sum() >= N.least_shared(size, 64, percent)
                 assert least - max(0, n - 64) >= N.least_shared(size, 64, percent)
+
+
+def test_deduplicated_judges_rows_not_ids(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    near = a + " tail"
+    # 1 repeats as a head; 7 has a copy of 1 and a clean text; 8 has two near texts of its own; two nulls stay
+    rows = [(1, a), (1, a), (1, a), (7, near), (7, b), (7, b), (8, c), (8, c + " end"), (9, c + " end"), (4, ""), (4, ""), (4, None), (None, a), (None, a)]
+    df = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = N.deduplicated(df)
+    assert kept.columns == df.columns and kept.schema.simpleString() == df.schema.simpleString()
+    found = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert found in ([(0, a), (0, a), (1, a), (4, ""), (7, b), (8, x)] for x in (c, c + " end"))
+    assert sorted((r.doc_id, r.component_id) for r in N.clusters(df).where("doc_id = 7").collect()) == [(7, 1), (7, 7), (7, 7)]

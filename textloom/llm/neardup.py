@@ -31,7 +31,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ._store import keep
 from ._text import FOLD, NON_SPACE, gram_hashes, pieces, text_buffers, word_hashes, words
@@ -180,36 +181,44 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
 
 
 def _confirmed(sets: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of the links of each family. sets: doc_id, family, block_a, block_b, side, text."""
-    dealt = sets.repartition("family", "block_a", "block_b").sortWithinPartitions("family", "block_a", "block_b", "side", "doc_id")
+    """Edges (a, b) of a spanning forest of the links of each family. sets: node, digest, family, block_a, block_b, side, text."""
+    dealt = sets.repartition("family", "block_a", "block_b").sortWithinPartitions("family", "block_a", "block_b", "side", "node")
 
-    def solve(ids: list[int], sides: list[int], texts: list) -> list[tuple[int, int]]:
+    def solve(ids: list[int], sides: list[int], texts: list, digests: list[bytes]) -> list[tuple[int, int]]:
         data, offs = text_buffers(pa.array(texts, pa.string()))
         own = []
         for i, j in pieces(offs):
             own.extend(shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle))
+        seen: dict[int, int] = {}  # one row of each node, with its own set
+        for at, (node, x, digest) in enumerate(zip(ids, own, digests)):
+            if node not in seen and hashlib.blake2b(x, digest_size=16).digest() == digest:
+                seen[node] = at
+        ids, sides, own = ([x[at] for at in seen.values()] for x in (ids, sides, own))
+        if len(ids) < 2:
+            return []
         m = sides.index(1) if 1 in sides else len(own)
         alone = m == len(own) or m == 0
         found = links(own, None, percent) if alone else links(own[:m], own[m:], percent)
         return [(ids[a], ids[b]) for a, b in _forest(len(own), found)]
 
     def run(batches):
-        key, ids, sides, texts, out = None, [], [], [], []
+        key, ids, sides, texts, digests, out = None, [], [], [], [], []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("family", "block_a", "block_b", "doc_id", "side", "text")]
-            for f, x, y, doc, side, text in zip(*cols):
+            cols = [batch.column(c).to_pylist() for c in ("family", "block_a", "block_b", "node", "side", "text", "digest")]
+            for f, x, y, node, side, text, digest in zip(*cols):
                 if (f, x, y) != key:
                     if len(ids) > 1:
-                        out += solve(ids, sides, texts)
-                    key, ids, sides, texts = (f, x, y), [], [], []
-                ids.append(doc)
+                        out += solve(ids, sides, texts, digests)
+                    key, ids, sides, texts, digests = (f, x, y), [], [], [], []
+                ids.append(node)
+                digests.append(digest)
                 sides.append(side)
                 texts.append(text)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
                 out = []
         if len(ids) > 1:
-            out += solve(ids, sides, texts)
+            out += solve(ids, sides, texts, digests)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
@@ -241,32 +250,72 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _rows(docs).where("doc_id is not null").withColumn("b", bit).mapInArrow(run, "doc_id long, text string")
 
 
-def clusters(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, k: int = SKETCH) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id of its component), kept."""
+def _assigned(docs: DataFrame, percent: int, shingle: int, k: int) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, digest, component_id, and the digest of the component's one head.
+
+    The nodes are classes of equal sets, not doc_ids: rows of one doc_id with different sets are judged each for itself.
+    """
     sketches = keep(sketched(docs, shingle=shingle, k=k), "sketches")
-    classes = keep(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = sketches.join(classes.withColumnRenamed("rep", "doc_id"), ["n_shingles", "digest", "doc_id"]).select("doc_id", "n_shingles", "digest", "sketch").dropDuplicates(["doc_id", "digest"])
-    heads = keep(heads.select("doc_id", "n_shingles", "sketch"), "heads")
-    families = keep(_families(heads.select("doc_id", "sketch"), percent, k).join(heads.select("doc_id", "n_shingles"), "doc_id"), "families")
+    classes = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("rep"))
+    classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    heads = sketches.join(classes.withColumnRenamed("rep", "doc_id"), ["n_shingles", "digest", "doc_id"]).select("node", "doc_id", "n_shingles", "digest", "sketch").dropDuplicates(["node"])
+    heads = keep(heads, "heads")
+    families = _families(heads.select(F.col("node").alias("doc_id"), "sketch"), percent, k).withColumnRenamed("doc_id", "node")
+    families = keep(families.join(heads.select("node", "doc_id", "n_shingles", "digest"), "node"), "families")
     sizes = families.groupBy("family").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
     # blocks by hash: half the bound on average, as hashes deal unevenly
     blocks = F.when((F.col("m") <= BLOCK_DOCS) & (F.col("w") <= BLOCK_SHINGLES), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("m") * 2 / BLOCK_DOCS), F.ceil(F.col("w") * 2 / BLOCK_SHINGLES)).cast("int"))
-    dealt = families.join(sizes.select("family", blocks.alias("n")), "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
-    texts = _likely(docs, families).join(dealt.select("doc_id", "family", "n", "block"), "doc_id")
+    dealt = families.join(sizes.select("family", blocks.alias("n")), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    # a doc_id may have several texts; _confirmed leaves those of another digest out
+    texts = _likely(docs, families).join(dealt.select("doc_id", "node", "digest", "family", "n", "block"), "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    sets = texts.select("*", other.alias("other")).select("doc_id", "text", "family", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    sets = texts.select("*", other.alias("other")).select("node", "digest", "text", "family", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     edges = keep(_confirmed(sets, percent, shingle), "links")
-    joined = components(edges)
-    found = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "digest", F.coalesce("component", "rep").alias("component"))
+    joined = components(edges).join(classes.select("node", "rep", "digest"), "node")
+    tops = joined.groupBy("component").agg(F.min(F.struct("rep", "digest")).alias("top"))
+    joined = joined.join(tops, "component").select("node", F.col("top.rep").alias("component_id"), F.col("top.digest").alias("head"))
+    found = classes.join(joined, "node", "left").select("n_shingles", "digest", F.coalesce("component_id", "rep").alias("component"), F.coalesce("head", "digest").alias("head"))
     return (
         sketches.select("doc_id", "n_shingles", "digest")
         .join(found, ["n_shingles", "digest"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .select("doc_id", "n_shingles", "digest", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("head", "digest").alias("head"))
     )
 
 
+def clusters(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, k: int = SKETCH) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id of its component), kept."""
+    rows = _assigned(docs, percent, shingle, k)
+    return rows.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _digested(docs: DataFrame, shingle: int) -> DataFrame:
+    """(row, _id, _set): rows of docs as structs, the doc_id as a long and the digest of the set."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    schema = StructType([f for f in rows.schema.fields if f.name != "_text"] + [StructField("_set", BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            data, offs = text_buffers(batch.column("_text"))
+            digests = []
+            for i, j in pieces(offs):
+                digests += [hashlib.blake2b(own, digest_size=16).digest() for own in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("_id"), pa.array(digests, pa.binary())], ["row", "_id", "_set"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def deduplicated(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, k: int = SKETCH) -> DataFrame:
-    """One row of each component (that with the smallest doc_id; of its repeated rows the first), all columns as they were. Rows with a null doc_id stay."""
-    drop = clusters(docs, percent=percent, shingle=shingle, k=k).where("not kept").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, all columns as they were: that with the smallest doc_id, then digest, then text and other columns.
+
+    Repeated rows (doc_id and set alike, rows without words too) leave one. Rows with a null doc_id stay.
+    """
+    rows = _assigned(docs, percent, shingle, k).where("doc_id is not null")
+    drop = rows.where("doc_id <> component_id or digest <> head").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_set")).distinct()
+    known = F.col("doc_id").cast("long").isNotNull()
+    # partial aggregates first, so that rows repeated many times meet as one of each task
+    plain = not any(x in f.dataType.simpleString() for f in docs.schema.fields for x in ("map<", "variant"))
+    order = [F.col("row.text"), *(F.col(f"row.`{c}`") for c in docs.columns if c != "text")] if plain else []
+    one = F.min(F.struct(*order)) if plain else F.first("row")
+    left = _digested(docs.where(known), shingle).groupBy("_id", "_set").agg(one.alias("row")).join(drop, ["_id", "_set"], "left_anti")
+    return left.select(*(F.col(f"row.`{c}`") for c in docs.columns)).unionByName(docs.where(~known))
