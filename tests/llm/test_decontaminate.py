@@ -68,3 +68,15 @@ def test_edges(spark, case):
     assert D.contamination(docs(spark, []), spark.createDataFrame(items, ITEMS)).collect() == []
     same = D.contamination(docs(spark, texts[-3:-2] * 2, [4, 4]), spark.createDataFrame(items + items, ITEMS)).collect()
     assert len(same) == 2 and same[0] == same[1]
+
+
+@pytest.mark.parametrize("size", [None, 600])
+def test_rows_with_null_or_repeated_ids_are_judged_each_for_itself(spark, case, monkeypatch, size):
+    _, items = case
+    if size:
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+    leak = f"{items[1][1]} {items[2][1]}"
+    df = docs(spark, [leak, "clean text", leak, "clean", leak, "clean"], [None, None, 5, 5, 6, 7])
+    kept = D.decontaminate(df, spark.createDataFrame(items, ITEMS))
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "clean text"), (5, "clean"), (7, "clean")]

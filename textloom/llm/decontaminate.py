@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._store import keep
 from ._text import FOLD, LETTERS, gram_hashes, pieces, text_buffers, word_hashes, words
 
 WINDOW = 8
@@ -196,9 +197,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     return _in_blocks(rows, blocks, window, min_items)
 
 
-def _in_blocks(rows: DataFrame, blocks: list, window: int, min_items: int) -> DataFrame:
-    """As contamination(), with a scan for each block; hits of a row meet by its id and place."""
-    rows = rows.withColumn("part", F.monotonically_increasing_id())
+def _found(rows: DataFrame, blocks: list, window: int) -> DataFrame:
+    """Hits of rows (doc_id, text, part) in each block; all items of an id are in one block."""
     out = None
     for shared in blocks:
 
@@ -216,6 +216,12 @@ def _in_blocks(rows: DataFrame, blocks: list, window: int, min_items: int) -> Da
 
         found = rows.mapInArrow(run, _PARTS)
         out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _in_blocks(rows: DataFrame, blocks: list, window: int, min_items: int) -> DataFrame:
+    """As contamination(), with a scan for each block; hits of a row meet by its id and place."""
+    out = _found(rows.withColumn("part", F.monotonically_increasing_id()), blocks, window)
     met = out.groupBy("doc_id", "part", "n_words").agg(F.collect_list("runs").alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     def merge(batches):
@@ -236,8 +242,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     """The rows of docs that hold windows of fewer than min_items items, with all their columns."""
     blocks = _blocks(benchmark)
     if len(blocks) > 1:  # the items of one document may fall in several blocks
-        found = _in_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), blocks, window, min_items)
-        return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+        # rows are told apart by their place, not by doc_id, which may be null or repeated; kept, as both sides must see the same place
+        placed = keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("part")), "placed")
+        found = _found(placed.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"), "part"), blocks, window)
+        drop = found.groupBy("part").agg(F.sum(F.size("items")).alias("n")).where(F.col("n") >= min_items).select("part")
+        return placed.join(drop, "part", "left_anti").select(*(F.col(f"row.`{c}`") for c in docs.columns))
     shared = blocks[0]
 
     def run(batches):
