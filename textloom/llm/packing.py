@@ -29,6 +29,8 @@ from .tokens import chunks
 
 CAPACITY = 2048
 END_ID = 0
+#: Bytes of text that are encoded at once; a longer document is encoded alone.
+_SLICE = 1 << 18
 #: Ranks are dealt in so many parts of each length at least, and in one for so many pieces.
 _PARTS, _PART_ROWS = 64, 1 << 19
 #: Fillings that a search looks at before it keeps its incumbent.
@@ -48,7 +50,7 @@ def tokenized(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             data, offs = text_buffers(batch.column("text"))
-            for i, j in row_slices(offs):
+            for i, j in row_slices(offs, _SLICE):
                 ids, at = table.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 out = ([], [], [], [], [], [])
                 for doc, a, b in zip(doc_ids[i:j], at[:-1].tolist(), at[1:].tolist()):
