@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own[app] = tempfile.mkdtemp(prefix="textloom-")
     return _own[app]
 
@@ -36,9 +38,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every table that keep() wrote in this application. Call it when results that read them are no longer needed."""
+def written(spark: SparkSession) -> int:
+    """How many tables this application has written and not released; a place for release()."""
+    return len(_kept.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Deletes the tables that keep() wrote in this application, or those from place `first` on and before `last`. Call it when results that read them are no longer needed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _kept.pop(spark.sparkContext.applicationId, []):
+    paths = _kept.get(spark.sparkContext.applicationId, [])
+    gone, paths[first:last] = paths[first:last], []
+    for path in gone:
         at = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
         at.getFileSystem(conf).delete(at, True)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._store import keep
 from ._text import FOLD, LETTERS, gram_hashes, pieces, text_buffers, word_hashes, words
+from ._worker import in_batches
 
 WINDOW = 8
 #: Bytes of benchmark text whose tables one broadcast may hold; a larger benchmark is searched in blocks.
@@ -193,7 +194,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
                     total = np.concatenate([[0], np.cumsum(hit)])
                     yield _digests(ids[i:j], np.diff(woffs), np.diff(total[woffs]), items, min_items)
 
-        return rows.mapInArrow(run, DIGEST)
+        return in_batches(rows, run, DIGEST)
     return _in_blocks(rows, blocks, window, min_items)
 
 
@@ -214,7 +215,7 @@ def _found(rows: DataFrame, blocks: list, window: int) -> DataFrame:
                         runs.append(np.flatnonzero(edge).tolist())
                     yield pa.RecordBatch.from_arrays([ids[i:j], parts[i:j], pa.array(np.diff(woffs), pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], ["doc_id", "part", "n_words", "runs", "items"])
 
-        found = rows.mapInArrow(run, _PARTS)
+        found = in_batches(rows, run, _PARTS)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -235,7 +236,7 @@ def _in_blocks(rows: DataFrame, blocks: list, window: int, min_items: int) -> Da
                 n_hit.append(int((np.cumsum(edge[:-1]) > 0).sum()))
             yield _digests(batch.column("doc_id").to_pylist(), batch.column("n_words").to_numpy(), n_hit, batch.column("items").to_pylist(), min_items)
 
-    return met.mapInArrow(merge, DIGEST)
+    return in_batches(met, merge, DIGEST)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_items: int = 2) -> DataFrame:
@@ -255,4 +256,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
             mask = [len(x) < min_items for _, _, _, _, items in _searched(batch, p) for x in items]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

@@ -36,6 +36,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ._store import keep
 from ._text import FOLD, NON_SPACE, gram_hashes, pieces, text_buffers, word_hashes, words
+from ._worker import in_batches
 from .components import components
 
 SHINGLE = 5
@@ -105,7 +106,7 @@ def sketched(docs: DataFrame, *, shingle: int = SHINGLE, k: int = SKETCH) -> Dat
                 flat = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "n_shingles", "digest", "sketch"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    return in_batches(_rows(docs), run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
 
 
 def _families(sketches: DataFrame, percent: int, k: int) -> DataFrame:
@@ -222,7 +223,7 @@ def _confirmed(sets: DataFrame, percent: int, shingle: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return in_batches(dealt, run, "a long, b long")
 
 
 #: Bits of the filter of document ids that is broadcast, whatever the corpus (2 MB).
@@ -247,7 +248,7 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             b = batch.column("b").to_numpy()
             yield batch.filter(pa.array((known[b >> 6] >> (b & 63)) & 1 == 1)).select(["doc_id", "text"])
 
-    return _rows(docs).where("doc_id is not null").withColumn("b", bit).mapInArrow(run, "doc_id long, text string")
+    return in_batches(_rows(docs).where("doc_id is not null").withColumn("b", bit), run, "doc_id long, text string")
 
 
 def _assigned(docs: DataFrame, percent: int, shingle: int, k: int) -> DataFrame:
@@ -302,7 +303,7 @@ def _digested(docs: DataFrame, shingle: int) -> DataFrame:
                 digests += [hashlib.blake2b(own, digest_size=16).digest() for own in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("_id"), pa.array(digests, pa.binary())], ["row", "_id", "_set"])
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
 
 
 def deduplicated(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, k: int = SKETCH) -> DataFrame:

@@ -25,12 +25,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ._store import keep
 from ._text import pieces as row_slices, text_buffers
+from ._worker import in_batches
 from .tokens import chunks
 
 CAPACITY = 2048
 END_ID = 0
-#: Bytes of text that are encoded at once; a longer document is encoded alone.
-_SLICE = 1 << 18
 #: Ranks are dealt in so many parts of each length at least, and in one for so many pieces.
 _PARTS, _PART_ROWS = 64, 1 << 19
 #: Fillings that a search looks at before it keeps its incumbent.
@@ -50,7 +49,7 @@ def tokenized(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             data, offs = text_buffers(batch.column("text"))
-            for i, j in row_slices(offs, _SLICE):
+            for i, j in row_slices(offs):
                 ids, at = table.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 out = ([], [], [], [], [], [])
                 for doc, a, b in zip(doc_ids[i:j], at[:-1].tolist(), at[1:].tolist()):
@@ -69,7 +68,7 @@ def tokenized(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return rows.mapInArrow(run, _PIECES + (", ids array<long>" if with_ids else ""))
+    return in_batches(rows, run, _PIECES + (", ids array<long>" if with_ids else ""))
 
 
 def completion(largest: int, left: dict[int, int], sizes: list[int], capacity: int) -> list[int]:
@@ -324,7 +323,7 @@ def pack(found: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [*names, "sequence_id", "offset"])
 
     schema = StructType([*found.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return rows.mapInArrow(place, schema)
+    return in_batches(rows, place, schema)
 
 
 def packed(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

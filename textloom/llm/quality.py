@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._text import text_buffers
+from ._worker import in_batches
 
 #: Bounds of the fit.
 SAMPLE, SAMPLE_BYTES = 1500, 16384
@@ -151,7 +152,7 @@ def scored(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> Da
             s = score(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, RESULT)
+    return in_batches(rows, run, RESULT)
 
 
 def accepted(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -163,4 +164,4 @@ def accepted(docs: DataFrame, model: Model, *, threshold: float = THRESHOLD) ->
         for batch in batches:
             yield batch.filter(pa.array([x >= threshold for x in score(batch.column("text"))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

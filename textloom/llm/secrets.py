@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._worker import in_batches
+
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value counts as a secret.
 LEAST_COST = 12.0
@@ -166,7 +168,7 @@ def scanned(docs: DataFrame, *, least_cost: float = LEAST_COST) -> DataFrame:
                 all_spans.append(_joined(found))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(all_spans, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return rows.mapInArrow(run, DIGEST)
+    return in_batches(rows, run, DIGEST)
 
 
 def redact(text: str, least_cost: float = LEAST_COST, mark: str = REDACTED) -> str:
@@ -198,4 +200,4 @@ def redacted(docs: DataFrame, *, least_cost: float = LEAST_COST, mark: str = RED
                 columns[chars_at] = pa.array([len(b) if a != b else c for a, b, c in zip(texts, new, columns[chars_at].to_pylist())], batch.schema.field(chars_at).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)

@@ -31,10 +31,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ._store import keep
 from ._text import mix, pieces, text_buffers
+from ._worker import in_batches
 
 LENGTH = 100
 _Q = 36  # bytes of an anchor
 _GRAM = 25  # bytes of an initial bucket: LENGTH / 4
+#: Bytes of text in which repeats are seen before any shuffle.
+_SLICE = 1 << 20
 #: Candidate bytes that a task refines together.
 _BATCH = 2 << 20
 
@@ -158,7 +161,7 @@ def _emit_anchors(length: int):
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
             doc, tie = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
-            for i, j in pieces(offs):
+            for i, j in pieces(offs, _SLICE):
                 own = offs[i : j + 1] - offs[i]
                 row, lo, hi, h = anchors(data[offs[i] : offs[j]], own, length)
                 if not len(row):
@@ -348,16 +351,16 @@ def removal(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     mine = F.filter("heads", lambda x: x["sha"] == F.sha2("text", 256))
     tie = F.get(mine, F.lit(0))["tie"]
     known = once.join(of_doc, "doc").select("doc", tie.alias("tie"), "text").where("tie is not null")
-    emitted = known.mapInArrow(_emit_anchors(length), _ANCHORS)
+    emitted = in_batches(known, _emit_anchors(length), _ANCHORS)
     deal = F.when(F.col("at") % 4 == 2, F.xxhash64("doc", "at")).otherwise(F.col("h"))
-    repeated = emitted.repartition(deal).sortWithinPartitions("h").mapInArrow(_only_repeated, _ANCHORS)
+    repeated = in_batches(emitted.repartition(deal).sortWithinPartitions("h"), _only_repeated, _ANCHORS)
     per_doc = repeated.groupBy("doc").agg(F.collect_list(F.struct("tie", "h", "at")).alias("found"))
     met = once.join(per_doc, "doc").join(of_doc, "doc").select("doc", tie.alias("tie"), "text", "found", F.size("heads").alias("n")).where("tie is not null")
     met = met.withColumn("found", F.when(F.col("n") == 1, F.col("found")).otherwise(F.filter("found", lambda x: x["tie"] == F.col("tie")))).where(F.size("found") > 0)
-    settled = met.select("doc", "tie", "text", "found").mapInArrow(_settle(length), _SETTLED)
-    ranges = settled.repartition("route").sortWithinPartitions("route").mapInArrow(_refine(length), _RANGES)
+    settled = in_batches(met.select("doc", "tie", "text", "found"), _settle(length), _SETTLED)
+    ranges = in_batches(settled.repartition("route").sortWithinPartitions("route"), _refine(length), _RANGES)
     found = ranges.groupBy("doc").agg(F.collect_list(F.struct("tie", "lo", "hi")).alias("ranges"))
     last = rows.join(of_doc.join(found, "doc", "left"), "doc", "left").select("doc", "text", F.sha2("text", 256).alias("sha"), tie.alias("tie"), "ranges")
-    out = last.mapInArrow(_final(length), RESULT)
+    out = in_batches(last, _final(length), RESULT)
     alone = all_rows.where("doc is null").select(F.col("doc").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     return out.unionByName(alone)

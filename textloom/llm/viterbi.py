@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._text import pieces, text_buffers, word_hashes
+from ._worker import in_batches
 
 MARK = "▁"
 _PENALTY = 10.0
@@ -158,4 +159,4 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
                 n = counts.rows(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(np.diff(offs[i : j + 1])), pa.array(n.astype(np.int64))], ["doc_id", "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return in_batches(rows, run, "doc_id long, n_bytes long, n_tokens long")

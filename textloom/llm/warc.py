@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ._store import keep, new_path
+from ._worker import in_batches
 
 _MAGIC = "WARC/1.1"
 _BLANK = "\r\n\r\n"
@@ -174,7 +175,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         if split and split.rows:
             yield split.batch()
 
-    return rows.mapInArrow(run, _CANDIDATES)
+    return in_batches(rows, run, _CANDIDATES)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -217,7 +218,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
             kept = batch.filter(pa.array(mask, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("page_id", "payload_bytes", "digest", "type", "refers_to", "verified")], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"])
 
-    return dealt.mapInArrow(reachable, result)
+    return in_batches(dealt, reachable, result)
 
 
 def round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
