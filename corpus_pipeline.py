@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontaminate, neardup, op3, packing, quality, secrets
-from textloom.llm._store import keep
+from textloom.llm._store import keep, release, written
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that remain of sf_dir's documents, packed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = written(spark)
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        release(spark, before, -1)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
