@@ -5,8 +5,12 @@ are dropped. The method adds spans of kind `guess`: a value that stands after a
 passphrase, pin, credentials, auth, bearer, private key ... or a base word in a form that `assign` does
 not take) is cut into the cheapest sequence of common words, dates, repeats, keyboard walks and
 brute-force spans; the product of their guesses, in log10, is its cost. A value whose cost reaches
-`least_cost` cannot be guessed and is reported. Base spans stay whatever their cost. After a space alone
-(no ':' or '='), letters of one case without digits count as prose and are not reported.
+`least_cost` cannot be guessed and is reported. Base spans stay whatever their cost. What reads like prose
+is not reported: after a space alone (no ':' or '='), letters of one case without digits or five consonants
+in a row; anywhere, text without ASCII letters and digits.
+
+Words are the common ones below and, with `words`, those of a public tokenizer's word-level vocabulary file, in
+its order, which is that of their frequency.
 
 Defined cases: null and empty texts have no spans (base_sha256 is that of the empty string); spans count
 code points, end exclusive; overlapping spans of different kinds are all reported, and redaction merges
@@ -17,6 +21,7 @@ length; other columns pass through `redacted` unchanged, save n_chars where it i
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -44,7 +49,18 @@ _CONTEXT = re.compile(
 _NAME = re.compile(rf"(?:[A-Za-z0-9]*_)*{_CREDENTIAL}", _FLAGS | re.IGNORECASE)
 #: Of a value that is not reported, so many characters at its end may open the next context.
 _AGAIN = 64
-_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d", _FLAGS)
+#: Forms of dates; each can begin at a place, and all do that match there.
+_DATES = tuple(
+    re.compile(x, _FLAGS)
+    for x in (
+        r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])",
+        r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d",
+        r"(?:19|20)\d\d",
+    )
+)
+#: Letters that do not follow each other in prose.
+_UNSPOKEN = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}", _FLAGS | re.IGNORECASE)
+_PLAIN = re.compile(r"[A-Za-z0-9]")
 _WORDS = {
     w: rank
     for rank, w in enumerate(
@@ -52,28 +68,48 @@ _WORDS = {
         1,
     )
 }
-_LONGEST = max(map(len, _WORDS))
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT = {pair for row in _ROWS for x in (row, row[::-1]) for pair in zip(x, x[1:])} | {(a, b) for r, s in zip(_ROWS, _ROWS[1:]) for a, b in [*zip(r, s), *zip(s, r)]}
 _LEET = str.maketrans("@4301$5!7", "aaeoissit")
-#: Spans of a pattern are looked for up to this length; longer repeats and walks are priced as several.
+#: Repeats and walks begin in the first _SPAN places of their run, or end so many later at most. Nothing else can be
+#: cheapest: a span that begins deeper, after another of the same run, costs less as one with it, and no word or date is longer.
 _SPAN = 32
+#: Least and most letters of a word of a vocabulary file.
+_WORD_LETTERS = (4, 24)
+
+_known: dict[str | None, tuple[dict[str, int], int]] = {}
+
+
+def dictionary(words: str | None = None) -> tuple[dict[str, int], int]:
+    """Ranks of words, and the letters of the longest. words: a word-level vocabulary file of the `tokenizers` library."""
+    if words not in _known:
+        ranks = dict(_WORDS)
+        if words:
+            least, most = _WORD_LETTERS
+            vocab = json.load(open(words))["model"]["vocab"]
+            for token, _ in sorted(vocab.items(), key=lambda x: x[1]):
+                word = token.removesuffix("</w>")
+                if word != token and least <= len(word) <= most and word.isascii() and word.isalpha():
+                    ranks.setdefault(word, len(ranks) + 1)
+        _known[words] = ranks, max(map(len, ranks))
+    return _known[words]
 
 
 def _kind(c: str) -> int:
-    return 1 if c.isdigit() else 2 if c.islower() else 4 if c.isupper() else 8
+    return 8 if not c.isalnum() or not c.isascii() else 1 if c.isdigit() else 2 if c.islower() else 4
 
 
 #: Guesses of a character by the kinds that a brute-force span mixes: digits, lower case, upper case, others.
 _ALPHABET = [sum(n for k, n in enumerate((10, 26, 26, 33)) if mask >> k & 1) for mask in range(16)]
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: str | None = None) -> float:
     """log10 of the guesses of the cheapest segmentation of value.
 
     Two brute-force spans never meet: what lies between two patterns is one span, priced by the alphabet it mixes.
     """
     n = len(value)
+    ranks, longest = dictionary(words)
     low = value.lower()
     if len(low) != n:  # a few letters grow in lower case
         low = value
@@ -86,16 +122,18 @@ def guess_cost(value: str) -> float:
     best = [0.0] + [math.inf] * n
     dates: dict[int, list[int]] = {}
     for i in range(n):
-        if low[i].isdigit() and (m := _DATE.match(low, i)):
-            dates.setdefault(m.end(), []).append(i)
+        if kinds[i] == 1:
+            for form in _DATES:
+                if m := form.match(low, i):
+                    dates.setdefault(m.end(), []).append(i)
     walk = repeat = 1
     for end in range(1, n + 1):
         kind = kinds[end - 1]
         brute = {m: min(pattern[end - 1], brute[m]) + price[m] if m & kind else math.inf for m in masks}
         cost = math.inf
-        for k in range(2, min(end, _LONGEST) + 1):
+        for k in range(2, min(end, longest) + 1):
             word = plain[end - k : end]
-            if rank := _WORDS.get(word):
+            if rank := ranks.get(word):
                 raw = value[end - k : end]
                 extra = (0 if raw == raw.lower() else math.log10(2 if raw[1:] == raw[1:].lower() else 2 * k)) + (0 if low[end - k : end] == word else math.log10(4))
                 cost = min(cost, best[end - k] + math.log10(rank + 1) + extra)
@@ -104,16 +142,29 @@ def guess_cost(value: str) -> float:
         if end > 1:
             repeat = repeat + 1 if value[end - 1] == value[end - 2] else 1
             walk = walk + 1 if (low[end - 2], low[end - 1]) in _NEXT else 1
-        for k in range(3, min(repeat, _SPAN) + 1):
+        for k in _lengths(repeat):
             cost = min(cost, best[end - k] + math.log10(_ALPHABET[kind] * k))
-        for k in range(3, min(walk, _SPAN) + 1):
+        for k in _lengths(walk):
             cost = min(cost, best[end - k] + math.log10(94 * 4 * k))
         pattern[end] = cost
         best[end] = min(cost, *brute.values())
     return best[n]
 
 
-def _guessed(text: str, least_cost: float) -> Iterator[tuple[int, int]]:
+def _lengths(run: int) -> range | list[int]:
+    """Lengths of the spans that end at the place where a run is so long."""
+    return range(3, run + 1) if run <= 2 * _SPAN else [*range(3, _SPAN + 1), *range(run - _SPAN + 1, run + 1)]
+
+
+def _prose(value: str, assigned: bool) -> bool:
+    if not _PLAIN.search(value):
+        return True
+    if assigned or any(c.isdigit() for c in value) or _UNSPOKEN.search(value):
+        return False
+    return value[1:].islower() or value.isupper() or not any(c.isupper() for c in value[1:])
+
+
+def _guessed(text: str, least_cost: float, words: str | None) -> Iterator[tuple[int, int]]:
     """Values in a credential context that cost least_cost at least."""
     at = 0
     while m := _CONTEXT.search(text, at):
@@ -126,14 +177,12 @@ def _guessed(text: str, least_cost: float) -> Iterator[tuple[int, int]]:
         while b > a and text[b - 1] in ".,:;!?)]}":
             b -= 1
         value = text[a:b]
-        # prose after a credential word and a space has letters of one case only
-        mixed = any(c.isdigit() for c in value) or not value[1:].islower() and not value.isupper() and any(c.isupper() for c in value[1:])
-        if b - a >= 8 and value.isascii() and (assigned or mixed) and not _NAME.fullmatch(value) and guess_cost(value) >= least_cost:
+        if b - a >= 8 and not _prose(value, assigned) and not _NAME.fullmatch(value) and guess_cost(value, words) >= least_cost:
             yield a, b
             at = m.end(2)
 
 
-def spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int, int]]:
+def spans(text: str, least_cost: float = LEAST_COST, words: str | None = None) -> list[tuple[int, int, int]]:
     """(start, index of kind, end), sorted."""
     out = []
     if ":" in text or "=" in text:
@@ -141,7 +190,7 @@ def spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int, int
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    out += [(a, 3, b) for a, b in _guessed(text, least_cost)]
+    out += [(a, 3, b) for a, b in _guessed(text, least_cost, words)]
     return sorted(out)
 
 
@@ -152,7 +201,7 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
 DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def scanned(docs: DataFrame, *, least_cost: float = LEAST_COST) -> DataFrame:
+def scanned(docs: DataFrame, *, least_cost: float = LEAST_COST, words: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, counts of base kinds, base_sha256, spans."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -160,7 +209,7 @@ def scanned(docs: DataFrame, *, least_cost: float = LEAST_COST) -> DataFrame:
         for batch in batches:
             counts, shas, all_spans = ([], [], []), [], []
             for text in batch.column("text"):
-                found = spans(text.as_py() or "", least_cost)
+                found = spans(text.as_py() or "", least_cost, words)
                 base = [x for x in found if x[1] < 3]
                 for k, column in enumerate(counts):
                     column.append(sum(x[1] == k for x in base))
@@ -171,10 +220,10 @@ def scanned(docs: DataFrame, *, least_cost: float = LEAST_COST) -> DataFrame:
     return in_batches(rows, run, DIGEST)
 
 
-def redact(text: str, least_cost: float = LEAST_COST, mark: str = REDACTED) -> str:
+def redact(text: str, least_cost: float = LEAST_COST, mark: str = REDACTED, words: str | None = None) -> str:
     """text with every run of overlapping spans replaced by mark."""
     out, at, until = [], 0, -1
-    for a, _, b in spans(text, least_cost):
+    for a, _, b in spans(text, least_cost, words):
         if a >= until:
             if until >= 0:
                 at = until
@@ -184,7 +233,7 @@ def redact(text: str, least_cost: float = LEAST_COST, mark: str = REDACTED) -> s
     return text if until < 0 else "".join([*out, text[until:]])
 
 
-def redacted(docs: DataFrame, *, least_cost: float = LEAST_COST, mark: str = REDACTED) -> DataFrame:
+def redacted(docs: DataFrame, *, least_cost: float = LEAST_COST, mark: str = REDACTED, words: str | None = None) -> DataFrame:
     """docs with secrets replaced in text; n_chars, where docs has it, counts the new text of changed rows."""
     schema = docs.schema
     text_at = schema.names.index("text")
@@ -193,7 +242,7 @@ def redacted(docs: DataFrame, *, least_cost: float = LEAST_COST, mark: str = RED
     def run(batches):
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
-            new = [redact(t, least_cost, mark) if t else t for t in texts]
+            new = [redact(t, least_cost, mark, words) if t else t for t in texts]
             columns = list(batch.columns)
             columns[text_at] = pa.array(new, batch.schema.field(text_at).type)
             if chars_at is not None:
