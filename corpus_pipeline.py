@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, neardup, op3, packing, quality, secrets
+from textloom.llm import decontaminate, neardup, op3, op4, packing, quality, secrets
 from textloom.llm._store import keep, release, written
 
 
@@ -33,7 +33,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With secrets replaced in the texts."""
-    return secrets.redacted(docs)
+    return secrets.redacted(docs, words=op4.words_path())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
