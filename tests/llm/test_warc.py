@@ -62,3 +62,15 @@ def test_chains_cross_splits_and_reject_false_candidates(spark, tmp_path):
         assert got(read_archive(spark, path)) == want(rows)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_verification_does_not_depend_on_batches(spark):
+    expected = {i for i, kind in ((r[0], r[3]) for r in want(ROWS)) if kind == "response"}
+    for setting, value in (("maxRecordsPerBatch", "1"), ("maxRecordsPerBatch", "3"), ("maxRecordsPerBatch", "10000")):
+        spark.conf.set(f"spark.sql.execution.arrow.{setting}", value)
+        try:
+            rows = round_trip(table(spark, ROWS).coalesce(1)).collect()
+        finally:
+            spark.conf.unset(f"spark.sql.execution.arrow.{setting}")
+        assert {r.page_id for r in rows if r.verified} == expected
+        assert all(r.verified is None for r in rows if r.record_type == "revisit")

@@ -10,7 +10,8 @@ there, one more is put in, so that the change can be undone. A role is written p
 holds no bracket. Every rendered turn is reparsed by the same deterministic parser that reads whole
 conversations; a turn whose text does not come back unchanged is rendered again in the next stronger
 form, until it does: as it is (`[INST role]`), escaped (`[INST role e]`), percent-encoded
-(`[INST role u]`).
+(`[INST role u]`). The whole conversation is parsed again too, and its turns compared with the source by a
+hash of role and text each; a conversation that differed would end the job with an error.
 
 The loss mask covers the text of assistant turns: `loss_spans` holds the (start, end) code points of
 their rendered texts.
@@ -67,15 +68,12 @@ def rendered_turn(role: Column, text: Column) -> Column:
     out = None
     for mark, body in reversed(_forms(text)):
         form = _render(role, mark, body)
-        if out is None:
-            out = form
-            continue
         # control strings are what can differ; without any of their first characters the plain form stands
         back = parse(form)
         same = (F.size(back) == 1) & (back[0]["role"] == role) & (back[0]["text"] == text) & (F.length(form) == F.length(back[0]["body"]) + F.lit(len(OPEN) + len(mark) + 1 + len(CLOSE)) + F.length(F.url_encode(role)))
         if not mark:
             same = ~text.rlike(_CONTROL) & same
-        out = F.when(same, form).otherwise(out)
+        out = F.when(same, form).otherwise(F.raise_error(F.lit("a turn that no form brings back")).cast("string") if out is None else out)
     return out
 
 
@@ -84,8 +82,10 @@ def formatted(conversations: DataFrame) -> DataFrame:
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     turns = turns.select("conv_id", F.struct("turn", "role", "text", rendered_turn(F.col("role"), F.col("text")).alias("out")).alias("t"))
-    turns = turns.select("conv_id", F.struct("t.turn", "t.role", "t.out").alias("t"))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["out"]), "").alias("formatted"))
+    turns = turns.select("conv_id", F.struct("t.turn", "t.role", "t.out", F.xxhash64("t.role", "t.text").alias("sum")).alias("t"))
+    made = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t")).select("conv_id", F.array_join(F.col("t.out"), "").alias("formatted"), F.col("t.sum").alias("sums"))
+    same = F.transform(parse(F.col("formatted")), lambda t: F.xxhash64(t["role"], t["text"])) == F.col("sums")
+    return made.select("conv_id", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation that does not parse back")).cast("string")).alias("formatted"))
 
 
 def _loss_spans(turns: Column) -> Column:

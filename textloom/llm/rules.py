@@ -17,7 +17,7 @@ Repeated windows are screened by hash: a text whose window hashes are all distin
 others the windows themselves are sorted and compared.
 
 Defined cases: a null or empty text has no words and fails the base rule; a text of fewer than five words
-has no window; a null lang is a stratum of its own; a stratum with too few labelled texts has no cutoff;
+has no window; a null lang counts as the empty one; a stratum with too few labelled texts has no cutoff;
 labels that are null or repeated count as one row each, and those of absent documents are ignored; an
 empty table gives no rows; repeated rows are judged each for itself; other columns are ignored.
 """

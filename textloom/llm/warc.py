@@ -9,6 +9,11 @@ and where a chain from each candidate leaves the split (pointer jumping over the
 Those few exits are chased from the start of each file; inside a split, candidates that the chain does
 not reach are rejected. Rows of the chase grow with splits, not with records.
 
+Payloads are hashed as they stream by, each byte once at most: a task follows the chain from its first
+candidate, and begins anew at the next one where a chain breaks. `verified` tells whether that hash is the one that
+the record's header claims; it is null where the payload does not end in the split of its header, where the
+split's chain began inside a payload, and for revisits. Then payload_digest is the header's.
+
 Payloads that equal that of another page are not written again: among pages with equal payload digests
 (of payloads of at least `least_bytes` bytes) that with the largest page_id is the response, the others
 are revisit records that refer to it.
@@ -33,7 +38,7 @@ from ._worker import in_batches
 
 _MAGIC = "WARC/1.1"
 _BLANK = "\r\n\r\n"
-#: Revisits up to which their table is broadcast; beyond, pages and revisits meet by a shuffle.
+#: Revisits up to which their table is broadcast, under 100 bytes a row; beyond, pages and revisits meet by a shuffle.
 BROADCAST_ROWS = 500_000
 _B32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
@@ -95,38 +100,53 @@ def _page(value: bytes | None) -> int | None:
     return int(digits) if digits.lstrip(b"-").isdigit() else None
 
 
+_SEPARATOR = (_BLANK + _MAGIC).encode()
+
+
 class _Split:
-    """Candidates of one split, in order."""
+    """Candidates of one split, in order, and the record that is being hashed."""
 
     def __init__(self, file: str, block: int):
         self.file, self.block, self.at, self.rows = file, block, 0, []
+        self.until, self.open, self.skip, self.left, self.sha = 0, 0, 0, 0, None
+
+    def feed(self, chunk: bytes) -> None:
+        """The next bytes of the record that is being hashed, behind its magic line."""
+        part = memoryview(chunk)[min(self.skip, len(chunk)) :]
+        self.skip -= len(chunk) - len(part)
+        part = part[: self.left]
+        self.sha.update(part)
+        self.left -= len(part)
+        if not self.left:
+            own = base64.b32encode(self.sha.digest()).decode()
+            row = self.rows[self.open]
+            row[7], row[8], self.sha = own, own == row[7], None
 
     def add(self, parts: list[bytes]) -> None:
-        """parts: the text between magic lines, in order; those of one batch are checked together."""
-        for k, part in enumerate(parts):
+        """parts: the text between magic lines, in order."""
+        for part in parts:
             size = len(_MAGIC) + len(part) + len(_BLANK)
             # the blank line after the header may lie in the separator, where the payload begins like one
             cut = (part + _BLANK.encode()).find(_BLANK.encode())
             head = part[:cut]
             length = _field(head, b"Content-Length") if head.startswith(b"\r\n") else None
             if length is None or not length.isdigit():
-                self.rows.append((self.at, -1, size, None, None, None, None, None, None))
+                self.rows.append([self.at, -1, size, None, None, None, None, None, None])
             else:
-                n, more = int(length), k + 1
-                found, have = [part], len(part)
-                while have < cut + 4 + n and more < len(parts):  # magic inside the payload, or a false claim
-                    found.append((_BLANK + _MAGIC).encode() + parts[more])
-                    have += len(found[-1])
-                    more += 1
-                body = b"".join(found)[cut + 4 :]
+                n = int(length)
                 kind = (_field(head, b"WARC-Type") or b"").decode("utf-8", "replace")
                 claimed = (_field(head, b"WARC-Payload-Digest") or b"").decode("ascii", "replace").removeprefix("sha1:")
                 full = _field(head, b"X-Payload-Length")
-                ok = None
-                if kind == "response" and len(body) >= n:
-                    own = base64.b32encode(hashlib.sha1(body[:n]).digest()).decode()
-                    ok, claimed = own == claimed, own
-                self.rows.append((self.at, self.at + len(_MAGIC) + len(head) + 4 + n + len(_BLANK), size, kind, _page(_field(head, b"WARC-Record-ID")), _page(_field(head, b"WARC-Refers-To")), int(full) if kind == "revisit" and full and full.isdigit() else n, claimed, ok))
+                end = self.at + len(_MAGIC) + len(head) + 4 + n + len(_BLANK)
+                self.rows.append([self.at, end, size, kind, _page(_field(head, b"WARC-Record-ID")), _page(_field(head, b"WARC-Refers-To")), int(full) if kind == "revisit" and full and full.isdigit() else n, claimed, None])
+            if self.at < self.until:  # inside a payload
+                if self.sha:
+                    self.feed(_SEPARATOR + part)
+            elif self.rows[-1][1] >= 0:
+                self.until, self.sha = self.rows[-1][1], None
+                if self.rows[-1][3] == "response":
+                    self.open, self.skip, self.left, self.sha = len(self.rows) - 1, cut + 4, n, hashlib.sha1()
+                    self.feed(part)
             self.at += size
 
     def batch(self) -> pa.RecordBatch:
