@@ -68,3 +68,20 @@ def test_null_id_is_compared_with_nothing(spark):
 def test_length_is_checked(spark):
     with pytest.raises(ValueError):
         removal(docs(spark, ["a"]), length=50)
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_anchors_and_small_slices(spark, monkeypatch, hot):
+    """One passage in many surroundings, dealt by anchors of over `hot` runs, in slices that settle little."""
+    from textloom.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "_SLICE", 1500)
+    monkeypatch.setattr(suffix_dedup, "_BATCH", 1500)
+    r = random.Random(9)
+    passage = prose(1, 40)
+    texts = [prose(100 + k, r.randint(3, 40)) + " " + passage + " " + prose(200 + k % 7, r.randint(3, 40)) for k in range(40)]
+    texts += [passage[:120] + prose(300 + k % 3, 30) for k in range(12)] + texts[:2] + ["ab" * 300, "x" * 250]
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    assert got(docs(spark, texts, order).repartition(5)) == brute(sorted(zip(order, texts)))

@@ -14,6 +14,10 @@ the same document) is removed; strings are judged on the input.
    alone already. Repeats of a string in the same task are settled there.
 4. What is first in its task goes on, dealt by its anchor, and is refined once more against the
    others. Matches are compared byte by byte.
+5. An anchor with over HOT runs (a passage in many surroundings) is not gathered: its strings are dealt singly
+   by a 128-bit digest of their bytes, equal digests count as equal strings, and the first of each is
+   found as they stream by in order. Hot anchors are known by a filter of a fixed size; one that is
+   taken for hot by mistake is dealt so everywhere, with the same result.
 
 Defined cases: a null or empty text, or one shorter than `length`, loses nothing (its digest is that of
 its bytes); repeated rows (same doc_id and text) count as one document and get equal results; rows of one
@@ -41,6 +45,9 @@ _SLICE = 1 << 20
 #: Candidate bytes that a task refines together.
 _BATCH = 2 << 20
 
+#: Runs of an anchor that a task may gather, and bits of the filter that tells hot anchors (2 MB, whatever the corpus).
+HOT, FILTER_BITS = 1 << 13, 1 << 24
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -152,6 +159,7 @@ def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 #: `at` packs a run of starts: the first, how many follow it (7 bits), and what is known of its anchor (2 bits):
 #: 0 nothing yet, 1 that it repeats, 2 that it does and need not meet the others.
 _ANCHORS = "h long, doc long, tie int, at long"
+#: hi is -1 where bytes is the digest of the single string that starts at lo.
 _SETTLED = "route long, doc long, tie int, lo int, hi int, bytes binary"
 _RANGES = "doc long, tie int, lo int, hi int"
 
@@ -203,7 +211,7 @@ def _binary(buf: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(buf))])
 
 
-def _settle(length: int):
+def _settle(length: int, hot):
     """Candidates of whole documents -> byte runs settled here, and strings that are first here."""
 
     def solve(data: np.ndarray, offs: np.ndarray, doc: np.ndarray, tie: np.ndarray, row: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray):
@@ -228,6 +236,16 @@ def _settle(length: int):
         if len(g):
             yield pa.RecordBatch.from_arrays([pa.array(mix(doc[g].astype(np.uint64)).view(np.int64)), pa.array(doc[g]), pa.array(tie[g]), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.nulls(len(g), pa.binary())], ["route", "doc", "tie", "lo", "hi", "bytes"])
         fresh = ~again
+        if len(hot.value):
+            bit = h.view(np.uint64) % np.uint64(FILTER_BITS)
+            single = fresh & ((hot.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1)[which]
+            if single.any():
+                fresh &= ~single
+                r, f = row[which][single], start[single]
+                raw = data.tobytes()
+                digests = [hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in (offs[r] + f).tolist()]
+                route = np.frombuffer(b"".join(digests), np.int64)[::2]
+                yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(doc[r]), pa.array(tie[r]), pa.array(f.astype(np.int32)), pa.array(np.full(len(f), -1, np.int32)), pa.array(digests, pa.binary())], ["route", "doc", "tie", "lo", "hi", "bytes"])
         if fresh.any():
             w, f = which[fresh], start[fresh]
             cut = np.ones(len(w), bool)
@@ -257,9 +275,22 @@ def _settle(length: int):
 
 
 def _refine(length: int):
-    """Rows sorted by route: runs pass, strings are refined against those of their anchor."""
+    """Rows sorted by route and place: runs pass, strings are refined against those of their anchor, single ones by their digest."""
     names = ["doc", "tie", "lo", "hi"]
 
+    def later(batch: pa.RecordBatch, seen: dict[int, set[bytes]]) -> pa.RecordBatch:
+        """Single strings whose digest came before. seen: the digests of the last route."""
+        mask = []
+        for route, digest in zip(batch.column("route").to_pylist(), batch.column("bytes").to_pylist()):
+            if route not in seen:
+                seen.clear()
+                seen[route] = set()
+            mask.append(digest in seen[route])
+            seen[route].add(digest)
+        found = batch.filter(pa.array(mask, pa.bool_()))
+        lo = found.column("lo").to_numpy()
+        return pa.RecordBatch.from_arrays([found.column("doc"), found.column("tie"), pa.array(lo), pa.array((lo + length).astype(np.int32))], names)
+
     def solve(held: list[pa.RecordBatch]):
         t = pa.Table.from_batches(held).combine_chunks()
         buf, at = text_buffers(t.column("bytes"))
@@ -274,8 +305,12 @@ def _refine(length: int):
             yield pa.RecordBatch.from_arrays([pa.array(doc[g]), pa.array(tie[g]), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], names)
 
     def run(batches):
-        held, size, last = [], 0, None
+        held, size, last, seen = [], 0, None, {}
         for batch in batches:
+            single = batch.filter(pa.array(batch.column("hi").to_numpy() < 0))
+            if single.num_rows:
+                yield later(single, seen)
+                batch = batch.filter(pa.array(batch.column("hi").to_numpy() >= 0))
             settled = batch.filter(batch.column("bytes").is_null())
             if settled.num_rows:
                 yield pa.RecordBatch.from_arrays([settled.column(c) for c in names], names)
@@ -333,6 +368,19 @@ def _final(length: int):
     return run
 
 
+def _hot(repeated: DataFrame):
+    """Broadcast of the filter of anchors with over HOT runs; empty without any."""
+    bit = F.pmod(F.col("h"), F.lit(FILTER_BITS))  # a power of two: as the unsigned remainder
+    hot = repeated.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(bit.alias("b"))
+    words = hot.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    some = False
+    for r in words.toLocalIterator():  # FILTER_BITS / 64 rows at most
+        bits[r[0]] = np.int64(r[1]).astype(np.uint64)
+        some = True
+    return repeated.sparkSession.sparkContext.broadcast(bits if some else bits[:0])
+
+
 def removal(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if length % 4 or length < 2 * _Q:
@@ -354,11 +402,12 @@ def removal(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     emitted = in_batches(known, _emit_anchors(length), _ANCHORS)
     deal = F.when(F.col("at") % 4 == 2, F.xxhash64("doc", "at")).otherwise(F.col("h"))
     repeated = in_batches(emitted.repartition(deal).sortWithinPartitions("h"), _only_repeated, _ANCHORS)
+    repeated = keep(repeated, "anchors")
     per_doc = repeated.groupBy("doc").agg(F.collect_list(F.struct("tie", "h", "at")).alias("found"))
     met = once.join(per_doc, "doc").join(of_doc, "doc").select("doc", tie.alias("tie"), "text", "found", F.size("heads").alias("n")).where("tie is not null")
     met = met.withColumn("found", F.when(F.col("n") == 1, F.col("found")).otherwise(F.filter("found", lambda x: x["tie"] == F.col("tie")))).where(F.size("found") > 0)
-    settled = in_batches(met.select("doc", "tie", "text", "found"), _settle(length), _SETTLED)
-    ranges = in_batches(settled.repartition("route").sortWithinPartitions("route"), _refine(length), _RANGES)
+    settled = in_batches(met.select("doc", "tie", "text", "found"), _settle(length, _hot(repeated)), _SETTLED)
+    ranges = in_batches(settled.repartition("route").sortWithinPartitions("route", "doc", "tie", "lo"), _refine(length), _RANGES)
     found = ranges.groupBy("doc").agg(F.collect_list(F.struct("tie", "lo", "hi")).alias("ranges"))
     last = rows.join(of_doc.join(found, "doc", "left"), "doc", "left").select("doc", "text", F.sha2("text", 256).alias("sha"), tie.alias("tie"), "ranges")
     out = in_batches(last, _final(length), RESULT)
