@@ -47,6 +47,22 @@ def test_scripts_and_characters(spark):
     assert one(spark, 'say "#no" # yes', T.strip_comment) == 'say "#no" '
 
 
+def test_character_pairs():
+    table = dict(zip(T.TRADITIONAL, T.SIMPLIFIED))
+    assert all(table[a] == b for a, b in ("說说", "誰谁", "發发", "髮发", "係系", "後后", "於于", "週周", "麼么", "裡里", "裏里", "颱台"))
+    assert not set("著乾的是在有说这") & set(table) and 1500 < len(table) < 4000
+
+
+@pytest.mark.parametrize("text,ok", [("Mary at Sea", True), ("O'Neil", True), ("O’neil and Co", True), ("iPhone", True), ("Alice in Wonder", False), ("さくら", True), ("김철수", True), ("the of", False), ("42", False), ("Room 42", True)])
+def test_proper_names(spark, text, ok):
+    assert one(spark, text, T.proper_name) is ok
+
+
+def test_every_phrase_marks_a_reply(spark):
+    rows = [(f"好的，{p}。",) for p in ("我会按照您的要求进行翻译", "我是您的游戏本地化助手", "本地化翻译助手", "打招呼，提问", "请提供", "非交互的")]
+    assert all(r.m for r in spark.createDataFrame(rows, "r string").select(T.meta_reply(F.lit("Hello there"), F.col("r")).alias("m")).collect())
+
+
 def test_golden_identifiers(spark):
     rows = [("rightaway", "s", "Hi there! How was class?", "rightaway_cf214f74"), ("rightaway", "m", "Good...", "rightaway_f5f51c33"), ("rightaway", None, "I can't bring myself to admit that it all went in one ear and out the other.", "rightaway_027fd9f0"), ("rightaway", "s", "Sure!", "rightaway_ed1dfb9d")]
     df = spark.createDataFrame(rows, "label string, who string, what string, want string")

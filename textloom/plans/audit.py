@@ -138,7 +138,7 @@ def residue_and_leak(spark, d):
     return V.table(spark, d, "conversations").select("conv_id", "turn", T.has_residue(t).alias("residue"), T.has(t, T.LEAK).alias("leak"))
 
 
-_PHRASES = "|".join((*T.META_PHRASES, *T.PROMPT_PHRASES))
+_PHRASES = "请提供|需要翻译|请问有什么可以帮|我已收到|请随时告诉我|以下为您|以下是您|我已准备|我明白您的|我会帮你翻译|我会帮您翻译|我会把文本翻译|我会将文本翻译|我会按照您的要求进行翻译|我是您的游戏本地化助手|本地化翻译助手|您提供的文本似乎|自动化|非交互式|批量翻译任务|批量翻译作业|批量作业|JSON数组|JSON 数组|打招呼，提问|非交互的"
 _COMMAND = _q(r"""(?i)\b(?:output|print|respond\s+with|return|say)\s*(?:only\s+)?(?:\(\s*)?["'`]?([A-Za-z][A-Za-z0-9_-]{2,})""")
 _TAIL = _q(r"""[\s"'`.,!?。？！:：;；]+$""")
 _META = f"""({_trim('r')} = '' OR regexp_matches(r, '{_PHRASES}') OR (regexp_extract(s, '{_COMMAND}', 1) <> '' AND lower(regexp_replace({_trim('r')}, '{_TAIL}', '')) = lower(regexp_extract(s, '{_COMMAND}', 1)) AND length({_trim('r')}) * 100 < length(s) * 75) OR length(r) > length(s) * 4 + 80)"""

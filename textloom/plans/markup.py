@@ -40,10 +40,10 @@ def marked_strings(spark, d):
     return V.table(spark, d, "pages").select("page_id", found.alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-_CORE = f"list_filter(regexp_extract_all(s, '[0-9A-Za-z_À-ÿ]+'), lambda x: lower(x) NOT IN ({', '.join(repr(c) for c in T.CONNECTORS)}))"
+_CORE = r"list_filter(regexp_extract_all(s, '[\p{L}\p{Nl}\p{No}]+(?:[''’][\p{L}\p{Nl}\p{No}]+)*'), lambda x: lower(x) NOT IN ('a', 'an', 'and', 'at', 'da', 'de', 'del', 'der', 'di', 'du', 'la', 'le', 'of', 'the', 'van', 'von'))"
 
 
-@query(V.sql(f"SELECT doc_id, line, len({_CORE}) > 0 AND len(list_filter({_CORE}, lambda x: NOT regexp_matches(x, '\\p{{Lu}}'))) = 0 AS proper FROM (SELECT doc_id, line, array_to_string(string_split(text, ' ')[1:3], ' ') AS s FROM doc_lines)", "doc_lines"))
+@query(V.sql(f"SELECT doc_id, line, regexp_matches(s, '[぀-ヿ㐀-鿿豈-﫿가-힯]') OR len({_CORE}) > 0 AND len(list_filter({_CORE}, lambda x: NOT regexp_matches(x, '\\p{{Lu}}'))) = 0 AS proper FROM (SELECT doc_id, line, array_to_string(string_split(text, ' ')[1:3], ' ') AS s FROM doc_lines)", "doc_lines"))
 def proper_name_spans(spark, d):
     span = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
     return V.doc_lines(spark, d).select("doc_id", "line", T.proper_name(span).alias("proper"))
