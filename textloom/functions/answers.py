@@ -80,6 +80,16 @@ def unwrapped(text: Column) -> Column:
     return run(text)
 
 
+def names_listed(text: Column) -> Column:
+    """name_list() of a column."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([name_list(t) for t in texts], dtype=object)
+
+    return run(text)
+
+
 def parsed_array(text: Column, expected: Column) -> Column:
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series, sizes: pd.Series) -> pd.Series:

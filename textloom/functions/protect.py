@@ -87,3 +87,13 @@ def restored(text: Column, held: Column, kind: str = "p") -> Column:
         return pd.Series([restore(t, dict(m), kind) for t, m in zip(texts, maps)], dtype=object)
 
     return run(text, held)
+
+
+def keeps_tokens(source: Column, result: Column) -> Column:
+    """preserved() of two columns."""
+
+    @F.pandas_udf("boolean")
+    def run(sources: pd.Series, results: pd.Series) -> pd.Series:
+        return pd.Series([preserved(a, b) for a, b in zip(sources, results)], dtype=bool)
+
+    return run(source, result)

@@ -54,7 +54,7 @@ def incremental_two_batches(spark, d):
     at = _folder(spark)
     docs = V.table(spark, d, "documents").select("doc_id", "text")
     for k in (0, 1):
-        docs.where(F.col("doc_id") % 2 == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        docs.where(F.col("doc_id") % 2 == k).write.mode("append").parquet(f"{at}/in")
     done = incremental.refresh(spark, f"{at}/in", docs.schema, f"{at}/out", f"{at}/state", "text", lambda new: new.withColumn("ok", F.col("doc_id") >= 0))
     return done.select("text", "ok")
 

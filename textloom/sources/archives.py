@@ -70,9 +70,23 @@ def entries(files: DataFrame) -> DataFrame:
 
 
 def contents(files: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, name, content) of entries, cut from the archives' bytes."""
-    body = F.expr("substring(content, cast(offset as int) + 1, cast(length as int))")
-    return files.select("path", "content").join(found.where("error is null"), "path").select("path", "name", F.concat("prefix", body).alias("content"))
+    """(path, name, content) of entries, cut from the archives' bytes.
+
+    The wanted entries of an archive meet its bytes as one list, so each archive travels once at most; the task
+    that holds it cuts them one after another.
+    """
+    wanted = found.where("error is null").groupBy("path").agg(F.collect_list(F.struct("name", "offset", "length", "prefix")).alias("entries"))
+
+    def cut(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for path, content, entries in zip(frame["path"], frame["content"], frame["entries"]):
+                for e in entries:
+                    body = bytes(content[e["offset"] : e["offset"] + e["length"]])
+                    yield pd.DataFrame({"path": [path], "name": [e["name"]], "content": [bytes(e["prefix"] or b"") + body]})
+
+    return files.select("path", "content").join(wanted, "path").mapInPandas(cut, "path string, name string, content binary")
 
 
 def scripts_only(found: DataFrame) -> DataFrame:
