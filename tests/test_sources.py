@@ -217,3 +217,15 @@ def test_catalog(spark):
     tree = spark.createDataFrame([("deep/lib/a.rpy",), ("app/s.rpy",), ("app/TL/fr/s.rpy",), ("app/.git/s.rpy",), ("app/logs/t.rpy",), ("app/tmp/t.rpy",), ("app/zz_x.rpy",)], "rel string")
     assert [r.rel for r in catalog.scripts(tree).collect()] == ["app/logs/t.rpy", "app/s.rpy", "app/tmp/t.rpy"]
     assert catalog.root_of(tree).first().root == "/app"
+
+
+def test_progress_is_replaced_by_a_move(spark, tmp_path):
+    from textloom.sources import sinks
+
+    path = str(tmp_path / "progress")
+    schema = "kind string, text string, translation string, fp string"
+    sinks.write_progress(spark.createDataFrame([("d", "a", "1", "f")], schema), path)
+    again = spark.read.parquet(path)
+    sinks.write_progress(again.unionByName(spark.createDataFrame([("d", "b", "2", "f")], schema)), path)
+    assert sorted(r.text for r in spark.read.parquet(path).collect()) == ["a", "b"]
+    assert [p.name for p in tmp_path.iterdir()] == ["progress"]

@@ -71,8 +71,22 @@ def write_files(rendered_files: DataFrame, path: str) -> None:
 
 
 def write_progress(progress: DataFrame, path: str) -> None:
-    """progress (kind, text, translation, fp) as Parquet; a reader sees the old or the new rows."""
-    progress.write.mode("overwrite").parquet(path)
+    """progress (kind, text, translation, fp) as Parquet, written beside path and moved there.
+
+    A writer that dies leaves the old rows, and progress may read path itself. Between the two moves a reader may
+    find nothing at path; then the old rows are at path.old.
+    """
+    spark = progress.sparkSession
+    to_path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    new, old, at = to_path(f"{path}.new"), to_path(f"{path}.old"), to_path(path)
+    progress.write.mode("overwrite").parquet(f"{path}.new")
+    fs = at.getFileSystem(conf)
+    fs.delete(old, True)
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(new, at):
+        raise OSError(f"{path}.new can't be moved")
+    fs.delete(old, True)
 
 
 def drop_path(spark: SparkSession, path: str) -> bool:
