@@ -121,7 +121,13 @@ def third_generation(model: Column) -> Column:
 
 def model_variants(name: Column) -> Column:
     """A model and its `:latest` form stand for each other."""
-    return F.array(name, F.when(F.endswith(name, F.lit(":latest")), F.regexp_replace(name, ":latest$", "")).otherwise(F.concat(name, F.lit(":latest"))))
+    name = F.lower(F.trim(name))
+    return F.when(name == "", F.array().cast("array<string>")).otherwise(F.array(name, F.when(F.endswith(name, F.lit(":latest")), F.regexp_replace(name, ":latest$", "")).otherwise(F.concat(name, F.lit(":latest")))))
+
+
+def same_model(a: Column, b: Column) -> Column:
+    """Whether two names, whatever their case, mean one model."""
+    return F.coalesce(F.arrays_overlap(model_variants(a), model_variants(b)), F.lit(False))
 
 
 def font_path(text: Column) -> Column:

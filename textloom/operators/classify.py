@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from .relate import append_queue
 
 
 def audit_category(original: Column, translation: Column, is_string: Column, language: str = "schinese") -> Column:
@@ -64,3 +67,15 @@ def validated(entries: DataFrame) -> DataFrame:
     """entries with `accepted`: tokens kept in order, no residue, no leak, no meta reply."""
     src, out = F.col("original"), F.col("translation")
     return entries.withColumn("accepted", (T.tokens(src) == T.tokens(out)) & ~T.has_residue(out, True) & ~T.has(out, T.LEAK) & ~T.meta_reply(src, out))
+
+
+def audit_run(entries: DataFrame, queue: DataFrame, order: Sequence[str], language: str = "schinese") -> dict[str, DataFrame]:
+    """A whole audit of (original, translation, is_string, *order).
+
+    items: entries that are wrong, with their category; counts: by category; repaired: traditional items with the
+    simplified translation, no request needed; queued: texts to append to the queue (text) for another request.
+    """
+    items = audited(entries, language).where("category is not null")
+    repaired = items.where("category = 'traditional'").withColumn("translation", T.to_simplified(F.col("translation")))
+    found = items.select(F.col("original").alias("text"), "category", *order)
+    return {"items": items, "counts": counts(items, "category"), "repaired": repaired, "queued": append_queue(queue, found, "text", order)}

@@ -129,3 +129,19 @@ def merge_prior(prior: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def without_language(rows: DataFrame, translated: DataFrame, key: str, language: str) -> DataFrame:
     """Default rows that have no row in the language."""
     return rows.join(translated.where(F.col("language") == language).select(key).distinct(), key, "left_anti")
+
+
+def substituted(units: DataFrame, by_key: DataFrame, by_text: DataFrame, key: str, text: str, value: str = "translation") -> DataFrame:
+    """units with `value`: the one of their key, else that of their text, else the text. Both maps hold a key once."""
+    a, b = by_key.select(key, F.col(value).alias("_a")), by_text.select(text, F.col(value).alias("_b"))
+    return units.join(a, key, "left").join(b, text, "left").withColumn(value, F.coalesce("_a", "_b", F.col(text))).drop("_a", "_b")
+
+
+def matches(lines: DataFrame, text: str, pattern: str, out: str, *keep: str) -> DataFrame:
+    """(*keep, out): the first group of every match of the pattern."""
+    return lines.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias(out))
+
+
+def reachable(made: DataFrame, used: DataFrame, name: str, place: str) -> DataFrame:
+    """(name, place): names in use, with the first place that defines them."""
+    return retry_only(made, used, name).groupBy(name).agg(F.min(place).alias(place))

@@ -22,5 +22,5 @@ def query(sql: str | None = None):
     return add
 
 
-for _name in ("audit", "keying", "relating", "structuring", "markup", "mapping", "stateful", "service", "texts"):
+for _name in ("audit", "keying", "relating", "structuring", "markup", "mapping", "stateful", "service", "texts", "working"):
     import_module(f".{_name}", __package__)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
-from ..operators import relate
+from ..operators import progress, relate
 from ..sources import catalog
 from . import views as V
 from .registry import query
@@ -82,7 +82,7 @@ def script_root(spark, d):
 @query("SELECT event_id // 250 AS tick, count(*) AS n, arg_max(value, event_id) AS latest FROM events GROUP BY 1")
 def progress_ticks(spark, d):
     """Messages drained 250 at a time; of each tick the latest progress."""
-    return V.table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 250).alias("tick")).agg(F.count("*").alias("n"), F.max_by("value", "event_id").alias("latest"))
+    return progress.drained(V.table(spark, d, "events"), "event_id", "value")
 
 
 @query(V.sql("SELECT DISTINCT 'm' || identifier AS old_id, identifier AS new_id FROM keyed_units", "keyed_units"))
@@ -97,9 +97,8 @@ def identifier_drift(spark, d):
 def reachable_definitions(spark, d):
     """Names that a pattern finds in use, with the first document that defines them."""
     lines = V.doc_lines(spark, d)
-    used = lines.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+),"), F.lit(1))).alias("name"))
-    made = lines.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)\."), F.lit(1))).alias("name"))
-    return relate.retry_only(made, used, "name").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    used = relate.matches(lines, "text", "([A-Z][a-z]+),", "name")
+    return relate.reachable(relate.matches(lines, "text", r"([A-Z][a-z]+)\.", "name", "doc_id"), used, "name", "doc_id")
 
 
 @query(V.sql("SELECT doc_id, count(*) AS n FROM doc_lines WHERE regexp_matches(text, '^[A-Z][a-z]+ ') GROUP BY doc_id", "doc_lines"))
@@ -111,6 +110,6 @@ def count_definitions(spark, d):
 def substitute_translations(spark, d):
     """Two passes: translations gathered over all files, then put in by identifier, else by text."""
     u = V.keyed_units(spark, d)
-    by_id = u.where("conv_id % 2 = 0").groupBy("identifier").agg(F.min(F.concat(F.lit("T "), "what")).alias("a"))
-    by_text = u.where("conv_id % 3 = 0").groupBy("what").agg(F.min(F.concat(F.lit("A "), "what")).alias("b"))
-    return u.join(by_id, "identifier", "left").join(by_text, "what", "left").select("conv_id", "turn", F.coalesce("a", "b", "what").alias("text"))
+    by_id = u.where("conv_id % 2 = 0").groupBy("identifier").agg(F.min(F.concat(F.lit("T "), "what")).alias("translation"))
+    by_text = u.where("conv_id % 3 = 0").groupBy("what").agg(F.min(F.concat(F.lit("A "), "what")).alias("translation"))
+    return relate.substituted(u, by_id, by_text, "identifier", "what").select("conv_id", "turn", F.col("translation").alias("text"))

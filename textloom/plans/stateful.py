@@ -7,7 +7,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from ..operators import keys
+from ..operators import keys, progress
 from ..sources import archives, readers, scripts, sinks
 from ..streaming import incremental, switch
 from . import views as V
@@ -63,9 +63,8 @@ def incremental_two_batches(spark, d):
  f AS (SELECT user_id, event_id, k, value AS ema FROM n WHERE k = 1 UNION ALL SELECT n.user_id, n.event_id, n.k, 0.7 * f.ema + 0.3 * n.value FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)
  SELECT user_id, count(*) AS n, round(arg_max(ema, k), 4) AS ema FROM f GROUP BY user_id""")
 def eta_smoothing(spark, d):
-    rows = V.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("l"))
-    fold = F.aggregate("l", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x["value"]).otherwise(0.7 * a + 0.3 * x["value"]))
-    return rows.select("user_id", "n", F.round(fold, 4).alias("ema"))
+    rows = progress.smoothed(V.table(spark, d, "events"), "user_id", "event_id", "value")
+    return rows.withColumn("ema", F.round("ema", 4))
 
 
 _LEAD = "CASE WHEN who <> '' THEN who || ' ' ELSE '' END"

@@ -9,6 +9,7 @@ import pickle
 import struct
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ENTRIES = "path string, name string, offset long, length long, prefix binary, error string"
@@ -174,3 +175,14 @@ def decoded(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "content", "layers", "state", "error"], dtype=object)
 
     return files.select("path", "content").mapInPandas(run, "path string, content binary, layers array<string>, state string, error string")
+
+
+def byte_counts(files: DataFrame) -> DataFrame:
+    """(path, counts): how often each of the 256 bytes stands in a content; null and empty contents have none."""
+
+    def run(frames):
+        for frame in frames:
+            frame["counts"] = [np.bincount(np.frombuffer(c or b"", np.uint8), minlength=256).tolist() for c in frame.pop("content")]
+            yield frame
+
+    return files.select("path", "content").mapInPandas(run, "path string, counts array<long>")

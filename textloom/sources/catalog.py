@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.text import is_chinese
 from ..operators.keys import keep_first
 
 # Names of folders that hold no sources, whatever their case.
@@ -39,8 +40,24 @@ def root_of(files: DataFrame) -> DataFrame:
     """The folder that holds the data: one named `game`, nearest the top, else the highest folder with a script."""
     folder = F.when(F.contains(F.concat(F.lit("/"), "rel"), F.lit("/game/")), F.regexp_extract(F.concat(F.lit("/"), F.col("rel")), "^(.*?/game)/", 1))
     rows = files.select(folder.alias("a"), F.when(F.rlike("rel", F.lit(SCRIPT)), F.regexp_replace(F.concat(F.lit("/"), "rel"), "/[^/]*$", "")).alias("b"))
-    rows = rows.select(F.coalesce("a", "b").alias("root"), F.col("a").isNull().alias("second")).where("root is not null").distinct()
-    return keep_first(rows.withColumn("k", F.lit(1)), ["k"], ["second", F.length("root"), "root"]).select("root")
+    rows = rows.select(F.coalesce("a", "b").alias("root"), F.col("a").isNull().alias("second")).where("root is not null")
+    return rows.agg(F.min(F.struct("second", F.length("root").alias("n"), "root")).alias("m")).select("m.root").where("root is not null")
+
+
+def scan(files: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """One record of a tree: n_sources, n_compiled, languages, has_chinese, n_archives, from_archives, version, note.
+
+    files: (rel) of a listing; texts: (text) of files that may state the version. Scripts are read from archives where
+    no loose one is left that is not generated. The note is null, or says what is missing.
+    """
+    found = scripts(files).agg(F.count_if(F.col("kind") == "source").alias("n_sources"), F.count_if(F.col("kind") == "compiled").alias("n_compiled"))
+    named = languages(files).agg(F.sort_array(F.collect_set("language")).alias("languages"), F.coalesce(F.bool_or(is_chinese(F.col("language"))), F.lit(False)).alias("has_chinese"))
+    packed = files.agg(F.count_if(F.rlike("rel", F.lit(r"(?i)\.rpa$"))).alias("n_archives"))
+    row = found.join(F.broadcast(named)).join(F.broadcast(packed))  # one row each
+    stated = version(F.col("text"))
+    row = row.join(F.broadcast(texts.agg(F.coalesce(F.min(F.when(stated != "unknown", stated)), F.lit("unknown")).alias("version")))) if texts is not None else row.withColumn("version", F.lit("unknown"))
+    loose = F.col("n_sources") + F.col("n_compiled") > 0
+    return row.withColumn("from_archives", ~loose & (F.col("n_archives") > 0)).withColumn("note", F.when(~loose & (F.col("n_archives") == 0), "no scripts"))
 
 
 def version(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import encode_say, escape_report
 from ..operators.keys import keep_first
+from ..operators.relate import append_queue
 
 
 def base_name(path: Column, root: str | None = None) -> Column:
@@ -66,8 +67,71 @@ def stale_compiled(files: DataFrame) -> DataFrame:
 
 
 def write_files(rendered_files: DataFrame, path: str) -> None:
-    """One folder for each filename below path, written and committed by Spark."""
-    rendered_files.select(F.col("text").alias("value"), "filename").write.mode("overwrite").partitionBy("filename").text(path, lineSep="\n")
+    """Every filename as one file of its text below path.
+
+    Spark writes and commits the texts beside path; then each is renamed to its name. A filename given twice, or
+    one that leaves path, is refused before anything is moved. Files of an earlier run stay unless named again.
+    """
+    spark = rendered_files.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to_path = jvm.org.apache.hadoop.fs.Path
+    beside = f"{path.rstrip('/')}.new"
+    once = rendered_files.groupBy("filename").agg(F.max("text").alias("value"), F.count("*").alias("n"))
+    bad = F.col("filename").isNull() | (F.col("n") > 1) | F.rlike("filename", F.lit(r"^$|^/|(^|/)\.\.(/|$)"))
+    checked = once.withColumn("value", F.when(bad, F.raise_error(F.concat(F.lit("not to be written: "), F.coalesce("filename", F.lit("null"))))).otherwise(F.col("value")))
+    checked.select("value", "filename").write.mode("overwrite").partitionBy("filename").text(beside, lineSep="\n")
+    fs = to_path(path).getFileSystem(conf)
+    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for folder in fs.listStatus(to_path(beside)):
+        name = folder.getPath().getName()
+        if name.startswith("filename="):
+            target = to_path(f"{path.rstrip('/')}/{unescape(name[9:])}")
+            fs.mkdirs(target.getParent())
+            fs.delete(target, False)
+            (part,) = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            if not fs.rename(part, target):
+                raise OSError(f"{target} can't be moved")
+    fs.delete(to_path(beside), True)
+
+
+def untranslated_report(dialogue: DataFrame, strings: DataFrame, errors: DataFrame, *, most_errors: int = 20) -> DataFrame:
+    """(part, seq, report) of a report in sections, to be ordered by both. A section without rows has no header.
+
+    dialogue, strings: seq, filename, line, text; errors: seq, message, of which each is shown once where it came first,
+    `most_errors` of them.
+    """
+    once = errors.groupBy("message").agg(F.min("seq").alias("seq")).orderBy("seq").limit(most_errors)
+    shown = once.select("seq", F.concat(F.lit("- "), "message").alias("report"))
+    out = None
+    for part, (title, rows) in enumerate((("== 对话 ==", report_lines(dialogue)), ("== 字符串 ==", report_lines(strings)), ("== 翻译错误详情（去重） ==", shown))):
+        rows = rows.select(F.lit(part).alias("part"), F.col("seq").cast("long").alias("seq"), "report")
+        head = rows.limit(1).select(F.lit(part).alias("part"), F.lit(None).cast("long").alias("seq"), F.lit(title).alias("report"))
+        out = head.unionByName(rows) if out is None else out.unionByName(head).unionByName(rows)
+    return out
+
+
+def pending_lines(units: DataFrame, text: str = "text", translation: str = "translation") -> DataFrame:
+    """(seq, report) of a pause marker: the units that have no translation, or their source for one."""
+    todo = units.where(F.col(translation).isNull() | (F.col(translation) == F.col(text)))
+    return todo.select("seq", F.concat(F.lit("  "), "filename", F.lit(":"), F.col("line").cast("string"), F.lit("  "), F.col(text)).alias("report"))
+
+
+def pause_counts(units: DataFrame, text: str = "text", translation: str = "translation") -> DataFrame:
+    """(n_done, n_pending) of the head of a pause marker."""
+    todo = F.col(translation).isNull() | (F.col(translation) == F.col(text))
+    return units.agg(F.count_if(~todo).alias("n_done"), F.count_if(todo).alias("n_pending"))
+
+
+def fix_blocks(resolved: DataFrame, language: str) -> DataFrame:
+    """(identifier, block) of a file of fixes, to be ordered by identifier. resolved: identifier, who, what, translation."""
+    lead = F.when(F.col("who") != "", F.concat("who", F.lit(" "))).otherwise(F.lit(""))
+    block = F.concat(F.lit(f"translate {language} "), "identifier", F.lit(":\n\n    # "), lead, encode_say(F.col("what")), F.lit("\n    "), lead, encode_say(F.col("translation")))
+    return resolved.select("identifier", block.alias("block"))
+
+
+def imported_lines(queue: DataFrame, found: DataFrame, text: str, order: list[str]) -> DataFrame:
+    """(*order, report) to append to a report: texts from elsewhere that it does not hold yet."""
+    return append_queue(queue, found, text, order).select(*order, F.concat(F.lit("外部导入:0  "), escape_report(F.col(text))).alias("report"))
 
 
 def write_progress(progress: DataFrame, path: str) -> None:
