@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import indent
 
@@ -29,19 +31,27 @@ def scope_carry(df: DataFrame, key: str, order: Sequence[str], opens: str, out:
 def innermost_block(df: DataFrame, key: str) -> DataFrame:
     """df (key, line, indent, is_header) with `block`: the line of the nearest header above with a smaller indent and no line of that indent or less between.
 
-    A fold over the lines of one document carries the stack of open headers; a document is one row.
+    The lines of one document are walked once, with a stack of open headers; a document is one row.
     """
     rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line", "indent", "is_header"))).alias("l"))
-    stack_type = "array<struct<line:int,indent:int>>"
-    start = F.struct(F.array().cast(stack_type).alias("stack"), F.array().cast("array<struct<line:int,block:int>>").alias("out"))
+    found = F.arrays_zip(F.col("l.line").alias("line"), _blocks("l.line", "l.indent", "l.is_header").alias("block"))
+    return rows.select(key, F.explode(found).alias("r")).select(key, "r.line", "r.block")
 
-    def step(a, x):
-        open_ = F.filter(a["stack"], lambda s: s["indent"] < x["indent"])
-        top = F.when(F.size(open_) > 0, F.element_at(open_, -1)["line"])
-        grown = F.when(x["is_header"], F.concat(open_, F.array(F.struct(x["line"].alias("line"), x["indent"].alias("indent"))))).otherwise(open_)
-        return F.struct(grown.cast(stack_type).alias("stack"), F.concat(a["out"], F.array(F.struct(x["line"].alias("line"), top.alias("block")))).cast("array<struct<line:int,block:int>>").alias("out"))
 
-    return rows.select(key, F.explode(F.aggregate("l", start, step, lambda a: a["out"])).alias("r")).select(key, "r.line", "r.block")
+@F.pandas_udf(ArrayType(IntegerType()))
+def _blocks(lines: pd.Series, indents: pd.Series, headers: pd.Series) -> pd.Series:
+    def walk(line, indent, header):
+        above: list[tuple[int, int]] = []
+        out = []
+        for n, i, h in zip(line.tolist(), indent.tolist(), header.tolist()):
+            while above and above[-1][1] >= i:
+                above.pop()
+            out.append(above[-1][0] if above else None)
+            if h:
+                above.append((n, i))
+        return out
+
+    return pd.Series([walk(*doc) for doc in zip(lines, indents, headers)], dtype=object)
 
 
 def islands(df: DataFrame, key: Sequence[str], order: Sequence[str], level: str, text: str) -> DataFrame:
@@ -72,17 +82,23 @@ def deduped_blocks(df: DataFrame, key: str, header: str) -> DataFrame:
 
 
 def packed_chunks(df: DataFrame, key: str, order: Sequence[str], size: str, *, most: int = 1200, items: int = 40) -> DataFrame:
-    """Greedy chunks in order: a new one where the sizes would pass `most` or `items` are reached. A group is one row while folded."""
-    item = F.struct(*[F.col(c) for c in order], F.col(size).cast("int").alias("_s"))
-    kind = ", ".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in order)
-    out_type = f"array<struct<{kind},chunk:int>>"
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.lit(0).alias("n"), F.array().cast(out_type).alias("out"))
-
-    def step(a, x):
-        fresh = (a["n"] > 0) & ((a["used"] + x["_s"] > most) | (a["n"] >= items))
-        chunk = F.when(fresh, a["chunk"] + 1).otherwise(a["chunk"])
-        row = F.struct(*[x[c].alias(c) for c in order], chunk.alias("chunk"))
-        return F.struct(chunk.alias("chunk"), F.when(fresh, x["_s"]).otherwise(a["used"] + x["_s"]).alias("used"), F.when(fresh, 1).otherwise(a["n"] + 1).alias("n"), F.concat(a["out"], F.array(row)).cast(out_type).alias("out"))
+    """Greedy chunks in order: a new one where the sizes would pass `most` or `items` are reached. A group is one row, walked once."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def chunks(sizes: pd.Series) -> pd.Series:
+        def walk(group):
+            chunk = used = n = 0
+            out = []
+            for s in group.tolist():
+                if n and (used + s > most or n >= items):
+                    chunk, used, n = chunk + 1, 0, 0
+                used, n = used + s, n + 1
+                out.append(chunk)
+            return out
+
+        return pd.Series([walk(g) for g in sizes], dtype=object)
 
+    item = F.struct(*[F.col(c) for c in order], F.col(size).cast("int").alias("_s"))
     rows = df.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("l"))
-    return rows.select(key, F.explode(F.aggregate("l", start, step, lambda a: a["out"])).alias("r")).select(key, *[f"r.{c}" for c in order if c != key], "r.chunk")
+    found = F.arrays_zip(F.col("l").alias("x"), chunks("l._s").alias("chunk"))
+    return rows.select(key, F.explode(found).alias("r")).select(key, *[F.col(f"r.x.{c}").alias(c) for c in order if c != key], "r.chunk")
