@@ -17,27 +17,37 @@ from textloom.llm._store import keep, release, written
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that the compression classifier rejects."""
+    """Without documents that the compression classifier rejects.
+
+    Null and empty texts get the score of a text that neither dictionary favours; repeated rows are judged alike.
+    """
     return quality.accepted(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates.
+
+    The smallest doc_id of a group stays; of rows with one doc_id and one set of shingles one stays. Texts without words,
+    nulls too, are linked with nothing, and rows with a null doc_id stay.
+    """
     return neardup.deduplicated(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that hold a window of any benchmark item (op7 alone calls two items contamination)."""
+    """Without documents that hold a window of any benchmark item (op7 alone calls two items contamination).
+
+    Texts without words stay; repeated rows are judged each for itself.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_items=1)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With secrets replaced in the texts."""
+    """With secrets replaced in the texts. Every row stays; null and empty texts stay as they are."""
     return secrets.redacted(docs, words=op4.words_path())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 2048 ids."""
+    """Pieces of the documents with their places in sequences of 2048 ids. A null or empty text is one piece of its end id; repeated rows are packed each."""
     return packing.packed(docs, op3.tokenizer_path())
 
 
