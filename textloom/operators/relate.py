@@ -145,3 +145,10 @@ def matches(lines: DataFrame, text: str, pattern: str, out: str, *keep: str) ->
 def reachable(made: DataFrame, used: DataFrame, name: str, place: str) -> DataFrame:
     """(name, place): names in use, with the first place that defines them."""
     return retry_only(made, used, name).groupBy(name).agg(F.min(place).alias(place))
+
+
+def drifted(units: DataFrame, existing: DataFrame, key: str = "identifier", value: str = "translation", seq: str = "seq") -> DataFrame:
+    """(key, value): keys that changed while their text did not, with the translation that their digest finds; nothing is asked for."""
+    new = units.select(key).distinct().join(existing.select(key).distinct(), key, "left_anti")
+    known = digest_fallback(existing, key, value, seq)
+    return new.withColumn("digest", F.element_at(F.split(F.col(key), "_"), -1)).join(known, "digest").select(key, value)

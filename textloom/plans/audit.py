@@ -49,6 +49,15 @@ def audit_retry_queue(spark, d):
     return relate.append_queue(e.where("conv_id % 5 = 0").select("original"), e, "original", ["seq"]).select("original", "seq")
 
 
+@query(V.sql(_AUDIT + "SELECT 'items' AS part, category, count(*) AS n FROM audited WHERE category IS NOT NULL GROUP BY category UNION ALL SELECT 'queued', category, count(*) FROM (SELECT arg_min(category, conv_id * 1000 + turn) AS category FROM audited WHERE category <> 'traditional' AND trim(original) <> '' AND trim(original) NOT IN (SELECT trim(original) FROM tl_entries WHERE conv_id % 5 = 0) GROUP BY trim(original)) GROUP BY category", "tl_entries"))
+def audit_whole(spark, d):
+    """A whole audit: counts by category of what it finds and of what it queues."""
+    entries = V.tl_entries(spark, d).withColumn("seq", F.col("conv_id") * 1000 + F.col("turn"))
+    done = classify.audit_run(entries, entries.where("conv_id % 5 = 0").select(F.col("original").alias("text")), ["seq"])
+    queued = classify.counts(done["queued"], "category")
+    return done["counts"].withColumn("part", F.lit("items")).unionByName(queued.withColumn("part", F.lit("queued")))
+
+
 @query(V.sql(_AUDIT + f"SELECT conv_id, turn, {_simple('translation')} AS translation FROM audited WHERE category = 'traditional'", "tl_entries"))
 def traditional_fix(spark, d):
     return classify.audited(V.tl_entries(spark, d)).where("category = 'traditional'").select("conv_id", "turn", T.to_simplified(F.col("translation")).alias("translation"))

@@ -166,3 +166,10 @@ def list_languages(spark, d):
 def probe_join_aggregate(spark, d):
     """A performance probe; not an operator of the domain."""
     return V.table(spark, d, "lineitem").join(V.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query(V.sql("SELECT DISTINCT u.identifier, f.translation FROM (SELECT CASE WHEN conv_id % 2 = 0 THEN 'm' || identifier ELSE identifier END AS identifier FROM keyed_units) u JOIN fallback_tl f ON f.digest = right(u.identifier, 8) WHERE u.identifier NOT IN (SELECT identifier FROM existing_tl)", "keyed_units", "fallback_tl"))
+def drifted_ids(spark, d):
+    """Every other conversation got a new label; their lines keep the translations they have."""
+    units = V.keyed_units(spark, d).withColumn("identifier", F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("m"), "identifier")).otherwise(F.col("identifier")))
+    return relate.drifted(units, V.existing_tl(spark, d))
