@@ -28,6 +28,26 @@ def test_features(spark):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_rows_hold_no_windows_or_lines(spark):
+    """Of a text only its words, as strings, and numbers stand in rows; arrays of windows took several times its size."""
+    plan = features(docs(spark, ["a b c d e " * 9]))._jdf.queryExecution().executedPlan()
+    kinds, todo = set(), [plan]
+    while todo:
+        node = todo.pop()
+        out, below = node.output(), node.children()
+        kinds |= {out.apply(i).dataType().simpleString() + (" " + out.apply(i).name() if out.apply(i).dataType().simpleString() == "array<string>" else "") for i in range(out.size())}
+        todo += [below.apply(i) for i in range(below.size())]
+    assert {k for k in kinds if k.startswith("array")} <= {"array<string> w", "array<bigint>", "array<int>"}
+
+
+def test_equal_halves_of_hashes_are_no_equal_windows(spark):
+    r = random.Random(3)
+    words = [f"{r.getrandbits(40):x}" for _ in range(200_000)]  # some five pairs of windows share half a hash by chance
+    texts = [" ".join(words), " ".join(words + words[7:14]), "word " * 50_000]
+    got = {x.doc_id: (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) for x in features(docs(spark, texts)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
 def test_binomial_tail_is_exact(spark):
     cases = [(0, 10), (3, 1000), (4, 1000), (10, 5000), (0, 2000), (350, 100_000), (99_000, 25_000_000)]
     rows = spark.createDataFrame(cases, "k long, n long").select("k", "n", binomial_tail(F.col("k"), F.col("n"), 0.004).alias("p")).collect()
