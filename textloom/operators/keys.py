@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.batching import bounded
 from ..functions.text import encode_say
 
 
@@ -50,25 +52,47 @@ def suffixed_across(df: DataFrame, key: str, root: str, order: Sequence[str], ou
     """Keys that files have suffixed already are made unique once more, greedily in order.
 
     A taken key k becomes the first free one of k_1, k_2 ...; all collisions share their un-suffixed root,
-    so each root is a group of its own. A group holds the uses of one text under one label.
+    so each root is a group of its own. A group holds the uses of one text under one label; its rows pass one
+    by one in order, and only its distinct keys are held, each with the last suffix it was given.
     """
-    cols = df.columns
-
-    def greedy(frame):
-        frame = frame.sort_values(list(order), kind="stable")
-        used: set[str] = set()
-        made = []
-        for k in frame[key]:
-            name, i = k, 0
-            while name in used:
-                i += 1
-                name = f"{k}_{i}"
-            used.add(name)
-            made.append(name)
-        frame[out] = made
-        return frame[[*cols, out]]
-
-    return df.groupBy(root).applyInPandas(greedy, StructType([*df.schema.fields, StructField(out, StringType())]))
+    fields = [*df.schema.fields, StructField(out, StringType())]
+    names = [f.name for f in fields]
+    bounded(df.sparkSession)
+
+    def run(batches):
+        group, free = None, _Free()
+        for batch in batches:
+            made = []
+            for r, k in zip(batch.column(root).to_pylist(), batch.column(key).to_pylist()):
+                if r != group:
+                    group, free = r, _Free()
+                made.append(free(k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=names)
+
+    rows = df.repartition(root).sortWithinPartitions(root, *order)
+    return rows.mapInArrow(run, StructType(fields))
+
+
+class _Free:
+    """Free names of one group: a key that is new stays, another gets its next free suffix. Every suffix up to the last one given is taken."""
+
+    def __init__(self):
+        self.kept: set[str] = set()
+        self.last: dict[str, int] = {}
+
+    def _given(self, k: str) -> bool:
+        base, _, i = k.rpartition("_")
+        return base in self.last and i.isascii() and i.isdigit() and i[0] != "0" and int(i) <= self.last[base]
+
+    def __call__(self, k: str) -> str:
+        if k not in self.kept and not self._given(k):
+            self.kept.add(k)
+            return k
+        i = self.last.get(k, 0) + 1
+        while f"{k}_{i}" in self.kept:
+            i += 1
+        self.last[k] = i
+        return f"{k}_{i}"
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
