@@ -2,7 +2,10 @@
 
 import time
 
+from pyspark.sql import functions as F
+
 from textloom.operators import keys
+from textloom.sources import readers, sinks
 
 
 def greedy(rows):
@@ -36,3 +39,33 @@ def test_a_hot_key_is_suffixed_in_linear_time(spark):
     assert time.time() - start < 60  # each row tried every suffix before
     assert len(set(got.values())) == n
     assert [got[i] for i in range(6)] == ["r", "r_1", "r_1_1", "r_2", "r_3", "r_1_2"] and got[n - 2] == f"r_{2 * n // 3 - 1}"
+
+
+def test_files_in_pieces_hold_what_whole_ones_do(spark):
+    units = spark.createDataFrame([("a.rpy", 1, 1, "i1", "e", "Hi", "H"), ("a.rpy", 2, 2, "i2", "", "No", "N"), ("b.rpy", 1, 3, "i1", "e", "Hi", "H")], "filename string, line int, seq long, identifier string, who string, what string, translation string")
+    strings = spark.createDataFrame([("a.rpy", 5, 9, 'x "y"', "X"), ("a.rpy", 6, 8, "z", "Z"), ("c.rpy", 1, 1, "w", "W"), ("c.rpy", 2, 2, "v", None), ("a.rpy", 7, 7, "z", "Y")], "filename string, line int, seq long, text string, translation string")
+    cut = sinks.pieces(units, strings, "zh")
+    whole = {r.filename: r.text for r in sinks.rendered(units, strings, "zh").collect()}
+    want = {}
+    for r in sorted(cut.collect(), key=lambda r: (r.part, r.seq)):
+        head = f"{r.head}\n\n" if r.head and r.head not in want.get(r.filename, "") else ""
+        want[r.filename] = (want[r.filename] + "\n\n" if r.filename in want else "") + head + r.text
+    assert whole == want and "c.rpy" in want and '    old "v"' not in want["c.rpy"]
+    files = spark.createDataFrame(list(whole.items()), "path string, text string")
+    parts = cut.select(F.col("filename").alias("path"), F.struct("part", "seq").alias("piece"), "head", "text")
+    for read, gone in ((readers.string_rows, []), (readers.dialogue_rows, ["original"])):
+        rows = lambda f: sorted(repr(r) for r in read(f).drop("n", "piece", *gone).collect())  # noqa: B023, E731
+        assert rows(files) == rows(parts) and rows(files)
+
+
+def test_an_old_line_serves_its_own_block_only(spark):
+    text = 'translate zh strings:\n    old "a"\ntranslate zh strings:\n    new "b"\n    old "c"\n    new "d"\n'
+    got = readers.string_rows(spark.createDataFrame([("p", text)], "path string, text string")).collect()
+    assert [(r.n, r.original, r.translation) for r in got] == [(6, "c", "d")]
+
+
+def test_no_file_of_strings_is_gathered(spark):
+    from textloom.plans import registry
+
+    plan = registry.QUERIES["string_blocks_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan

@@ -1,4 +1,8 @@
-"""Readers of translation files, reports and progress. Files are rows (path, text); lines carry their place."""
+"""Readers of translation files, reports and progress. Files are rows (path, text); lines carry their place.
+
+A translation file may also come in pieces (path, piece, head, text), cut between entries; head is the first line of the
+block that a piece goes on with. Then n counts the lines of a piece, and no file is gathered.
+"""
 
 from __future__ import annotations
 
@@ -9,44 +13,54 @@ from ..functions.text import decode_quoted, decode_say, trimmed, unescape_report
 _HEAD = r"^translate\s+(\w+)\s+(\w+)\s*:"
 
 
+def _place(rows: DataFrame) -> list[str]:
+    return ["path", "piece"] if "piece" in rows.columns else ["path"]
+
+
 def lines_of(files: DataFrame) -> DataFrame:
     """(path, n, line) with 1-based n."""
-    rows = files.select("path", F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), "\r?\n")).alias("n", "line"))
+    own = [c for c in ("piece", "head") if c in files.columns]
+    rows = files.select("path", *own, F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), "\r?\n")).alias("n", "line"))
     return rows.withColumn("n", F.col("n") + 1)
 
 
-def blocks(files: DataFrame) -> DataFrame:
-    """lines_of() inside translation blocks, with the block's language, id and number."""
-    w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+def blocks(files: DataFrame, wanted: str | None = None) -> DataFrame:
+    """lines_of() inside translation blocks, with the block's language, id and number; of the lines only those that match `wanted`."""
+    place = _place(files)
+    w = Window.partitionBy(*place).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    key = lambda s: F.when(F.rlike(s, F.lit(_HEAD)), F.struct(F.regexp_extract(s, _HEAD, 1).alias("language"), F.regexp_extract(s, _HEAD, 2).alias("id")))
+    before = key(trimmed(F.col("head"))) if "head" in files.columns else F.lit(None)
     s = trimmed(F.col("line"))
-    head = F.rlike(s, F.lit(_HEAD))
-    key = F.when(head, F.struct(F.regexp_extract(s, _HEAD, 1).alias("language"), F.regexp_extract(s, _HEAD, 2).alias("id")))
-    rows = lines_of(files).select("path", "n", "line", s.alias("s"), head.alias("head"), key.alias("key"))
-    rows = rows.withColumn("block", F.count("key").over(w)).withColumn("key", F.last("key", ignorenulls=True).over(w))
-    return rows.where("key is not null and not head").select("path", "n", "line", "s", "block", "key.language", "key.id")
+    rows = lines_of(files).select(*place, "n", "line", s.alias("s"), key(s).alias("own"), before.alias("before"))
+    if wanted:
+        rows = rows.where(F.col("own").isNotNull() | F.rlike("s", F.lit(wanted)))
+    rows = rows.withColumn("block", F.count("own").over(w)).withColumn("key", F.coalesce(F.last("own", ignorenulls=True).over(w), "before"))
+    return rows.where("key is not null and own is null").select(*place, "n", "line", "s", "block", "key.language", "key.id")
 
 
 def dialogue_rows(files: DataFrame) -> DataFrame:
     """(path, n, language, identifier, who, original, translation): the first line of a block that is no comment, and the comment's text."""
+    place = _place(files)
     rows = blocks(files).where("id <> 'strings' and s <> ''")
     quoted = lambda s: F.regexp_extract(s, r'^[^"]*"(.*)"', 1)
     comment = F.startswith("s", F.lit("#"))
     first = F.min(F.when(~comment, F.struct("n", "s")))
     source = F.max(F.when(comment, F.struct("n", "s")))
-    got = rows.groupBy("path", "block", "language", "id").agg(first.alias("t"), source.alias("o")).where("t is not null and instr(t.s, '\"') > 0")
+    got = rows.groupBy(*place, "block", "language", "id").agg(first.alias("t"), source.alias("o")).where("t is not null and instr(t.s, '\"') > 0")
     who = trimmed(F.regexp_extract("t.s", r'^([^"]*)"', 1))
-    return got.select("path", F.col("t.n").alias("n"), "language", F.col("id").alias("identifier"), F.when(who != "", who).alias("who"), decode_say(quoted(F.col("o.s"))).alias("original"), decode_say(quoted(F.col("t.s"))).alias("translation"))
+    return got.select(*place, F.col("t.n").alias("n"), "language", F.col("id").alias("identifier"), F.when(who != "", who).alias("who"), decode_say(quoted(F.col("o.s"))).alias("original"), decode_say(quoted(F.col("t.s"))).alias("translation"))
 
 
 def string_rows(files: DataFrame) -> DataFrame:
     """(path, n, language, original, translation) of old/new pairs."""
-    rows = blocks(files).where("id = 'strings'")
-    w = Window.partitionBy("path", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    place = _place(files)
+    rows = blocks(files, r"^(old|new)\s").where("id = 'strings'")
     part = lambda word: F.when(F.rlike("s", F.lit(rf'^{word}\s+".*"\s*$')), F.regexp_extract("s", rf'^{word}\s+"(.*)"\s*$', 1))
     rows = rows.withColumn("old", part("old")).withColumn("new", part("new")).where("old is not null or new is not null")
-    # an old line is used by the next new line alone
-    prev = F.lag("old").over(Window.partitionBy("path", "block").orderBy("n"))
-    return rows.withColumn("original", prev).where("new is not null and original is not null").select("path", "n", "language", decode_say(F.col("original")).alias("original"), decode_say(F.col("new")).alias("translation"))
+    # an old line is used by the next new line of its block alone
+    prev = F.lag(F.struct("block", "old")).over(Window.partitionBy(*place).orderBy("n"))
+    rows = rows.withColumn("prev", prev).withColumn("original", F.when(F.col("prev.block") == F.col("block"), F.col("prev.old")))
+    return rows.where("new is not null and original is not null").select(*place, "n", "language", decode_say(F.col("original")).alias("original"), decode_say(F.col("new")).alias("translation"))
 
 
 def last_by(rows: DataFrame, key: str) -> DataFrame:

@@ -21,22 +21,29 @@ def dialogue_block(ref: Column, line: Column, language: Column, identifier: Colu
     return F.concat(F.lit("# "), ref, F.lit(":"), line.cast("string"), F.lit("\ntranslate "), language, F.lit(" "), identifier, F.lit(":\n\n    # "), lead, encode_say(what), F.lit("\n    "), lead, encode_say(translation))
 
 
-def rendered(units: DataFrame, strings: DataFrame, language: str) -> DataFrame:
-    """(filename, text) of translation files.
+def pieces(units: DataFrame, strings: DataFrame, language: str) -> DataFrame:
+    """(filename, part, seq, head, text): translation files in pieces, to be ordered by part and seq, blank lines between them.
 
     units: filename, line, seq, identifier, who, what, translation; strings: filename, line, seq, text,
     translation. Rows without a translation are left out; an identifier stands once in a file, a string
-    once in all, in the file that has it first; the strings of a file form one block at its end.
+    once in all, in the file that has it first; the strings of a file form one block at its end. `head` is the
+    first line of the block that a piece goes on with, so a file of any size can be read piece by piece.
     """
     lang = F.lit(language)
     some = keep_first(units.where("translation is not null"), ["filename", "identifier"], ["seq"])
-    own = some.select("filename", F.lit(0).alias("part"), "seq", dialogue_block(base_name(F.col("filename")), F.col("line"), lang, F.col("identifier"), F.coalesce("who", F.lit("")), F.col("what"), F.col("translation")).alias("block"))
+    own = some.select("filename", F.lit(0).alias("part"), "seq", F.lit(None).cast("string").alias("head"), dialogue_block(base_name(F.col("filename")), F.col("line"), lang, F.col("identifier"), F.coalesce("who", F.lit("")), F.col("what"), F.col("translation")).alias("text"))
     once = keep_first(strings.where("translation is not null"), ["text"], ["filename", "seq"])
     pair = F.concat(F.lit("    # "), base_name(F.col("filename")), F.lit(":"), F.col("line").cast("string"), F.lit("\n    old "), encode_say(F.col("text")), F.lit("\n    new "), encode_say(F.col("translation")))
-    body = once.groupBy("filename").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", pair.alias("b")))), lambda x: x["b"]), "\n\n").alias("b"))
-    rest = body.select("filename", F.lit(1).alias("part"), F.lit(0).cast(some.schema["seq"].dataType).alias("seq"), F.concat(F.lit(f"translate {language} strings:\n\n"), "b").alias("block"))
-    both = own.unionByName(rest)
-    return both.groupBy("filename").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "seq", "block"))), lambda x: x["block"]), "\n\n").alias("text"))
+    return own.unionByName(once.select("filename", F.lit(1).alias("part"), "seq", F.lit(f"translate {language} strings:").alias("head"), pair.alias("text")))
+
+
+def rendered(units: DataFrame, strings: DataFrame, language: str) -> DataFrame:
+    """(filename, text) of translation files, the pieces() of each in one row: for files that fit one."""
+    files = pieces(units, strings, language).groupBy("filename").agg(F.sort_array(F.collect_list(F.struct("part", "seq", "text"))).alias("l"))
+    texts = lambda part: F.transform(F.filter("l", lambda x: x["part"] == part), lambda x: x["text"])
+    rest = F.concat(F.lit(f"translate {language} strings:\n\n"), F.array_join(texts(1), "\n\n"))
+    both = F.concat(texts(0), F.when(F.size(texts(1)) > 0, F.array(rest)).otherwise(F.array().cast("array<string>")))
+    return files.select("filename", F.array_join(both, "\n\n").alias("text"))
 
 
 def report_lines(rows: DataFrame) -> DataFrame:
