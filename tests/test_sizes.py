@@ -69,3 +69,31 @@ def test_no_file_of_strings_is_gathered(spark):
 
     plan = registry.QUERIES["string_blocks_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def documents(spark, monkeypatch, rows, shuffled=False):
+    """rows (doc_id, text) as the table of documents, if asked in another order each time they are read."""
+    from textloom.plans import views
+
+    def shuffle(frames):
+        for frame in frames:
+            yield frame.sample(frac=1)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(views, "table", lambda s, d, name: df.mapInPandas(shuffle, df.schema) if shuffled else df)
+
+
+def test_archives_are_the_same_whenever_they_are_made(spark, monkeypatch):
+    import hashlib
+
+    from textloom.plans import registry
+
+    rows = [(i, f"text {i}" * (i % 9)) for i in range(200)] + [(5, "another"), (5, None), (-3, "below"), (7, "text 7" * 7)]
+    documents(spark, monkeypatch, rows, shuffled=True)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = registry.QUERIES["archive_entries"](spark, "").collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    want = [(i, t if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t in rows]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)

@@ -144,12 +144,16 @@ def archive_entries(spark, d):
     """All documents packed in archives of 64 each, listed and read back."""
     import pandas as pd
 
-    docs = V.table(spark, d, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 64).alias("a"))
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
 
     def build(key, frame):
-        made = archive({f"scripts/{i}.rpy": t.encode() for i, t in zip(frame["doc_id"], frame["text"])})
+        # the archives are made once for their index and once for their bytes, from rows that come in any order
+        frame = frame.sort_values(["id", "text"])
+        made = archive({f"scripts/{k}/{i}.rpy": t.encode() for k, (i, t) in enumerate(zip(frame["id"], frame["text"]))})
         return pd.DataFrame({"path": [f"a{key[0]}"], "content": [made]})
 
-    files = docs.groupBy("a").applyInPandas(build, "path string, content binary")
+    packed = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("id"), "text", F.floor(F.col("doc_id") / 64).alias("a"))
+    files = packed.groupBy("a").applyInPandas(build, "path string, content binary")
     read = archives.contents(files, archives.scripts_only(archives.entries(files)))
-    return read.select(F.regexp_extract("name", r"(\d+)\.rpy$", 1).cast("long").alias("doc_id"), F.sha2("content", 256).alias("sha"))
+    found = read.select(F.expr(r"try_cast(regexp_extract(name, '(-?\\d+)\\.rpy$', 1) as bigint)").alias("doc_id"), F.sha2("content", 256).alias("sha"))
+    return found.unionByName(docs.where("text is null").select("doc_id", F.lit(None).cast("string").alias("sha")))
