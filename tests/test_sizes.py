@@ -97,3 +97,21 @@ def test_archives_are_the_same_whenever_they_are_made(spark, monkeypatch):
         spark.conf.unset("spark.sql.exchange.reuse")
     want = [(i, t if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t in rows]
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+
+
+def test_progress_with_long_texts(spark, monkeypatch):
+    from textloom.plans import registry
+
+    rows = [(1, "x" * 60_000), (2, 'a "quoted"\n\\text'), (3, "é中\x01"), (4, ""), (300, "x" * 60_000), (301, "y")]
+    documents(spark, monkeypatch, rows)
+    got = registry.QUERIES["progress_reader"](spark, "").collect()
+    assert sorted((r.text, r.translation) for r in got) == sorted({(t, "t:" + t[:4]) for _, t in rows})
+
+
+def test_progress_of_odd_files(spark):
+    texts = ["", "[]", "nul", '{"dialogues": {"a": "b"}', '{"dialogues": 5, "strings": {"k": null, "n": 1.50, "h": "\\ud800", "i": 7, "b": true, "o": {"x": [1, "é"]}}}', '{"__fp__": "f", "dialogues": {"a": "b"}, "strings": null}']
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, None])], "path string, text string")
+    got = sorted(tuple(r) for r in readers.progress(files).collect())
+    assert [r[1:] for r in got if r[0] == "5"] == [("f", "dialogue", "a", "b")]
+    assert {r[3]: r[4] for r in got if r[0] == "4"} == {"k": None, "n": "1.5", "h": "?", "i": "7", "b": "true", "o": '{"x":[1,"é"]}'}
+    assert {r[0] for r in got} == {"4", "5"}

@@ -6,8 +6,12 @@ block that a piece goes on with. Then n counts the lines of a piece, and no file
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.batching import bounded
 from ..functions.text import decode_quoted, decode_say, trimmed, unescape_report
 
 _HEAD = r"^translate\s+(\w+)\s+(\w+)\s*:"
@@ -116,11 +120,42 @@ def key_values(files: DataFrame) -> DataFrame:
 
 
 def progress(files: DataFrame) -> DataFrame:
-    """(path, fp, kind, text, translation) of JSON progress files; malformed ones give no rows."""
-    parsed = F.from_json("text", "__fp__ string, dialogues map<string,string>, strings map<string,string>")
-    rows = files.select("path", parsed.alias("j")).where("j is not null")
-    each = lambda kind: rows.select("path", F.col("j.__fp__").alias("fp"), F.lit(kind[:-1]).alias("kind"), F.explode(f"j.{kind}").alias("text", "translation"))
-    return each("dialogues").unionByName(each("strings"))
+    """(path, fp, kind, text, translation) of JSON progress files; malformed ones give no rows.
+
+    Texts are names of members there, and Spark's own parser gives up a file for a name of over 50000 characters.
+    """
+    bounded(files.sparkSession)
+    return files.select("path", "text").mapInArrow(_progress_rows, _PROGRESS)
+
+
+_PROGRESS = "path string, fp string, kind string, text string, translation string"
+
+
+def _progress_rows(batches):
+    names = [part.split()[0] for part in _PROGRESS.split(", ")]
+    schema = pa.schema([(n, pa.string()) for n in names])
+    for batch in batches:
+        for path, text in zip(batch.column("path"), batch.column("text")):
+            try:
+                found = json.loads(text.as_py())
+            except (TypeError, ValueError, RecursionError):
+                continue
+            if not isinstance(found, dict):
+                continue
+            for kind in ("dialogue", "string"):
+                pairs = found.get(f"{kind}s")
+                if isinstance(pairs, dict) and pairs:
+                    n = len(pairs)
+                    columns = [[path.as_py()] * n, [_as_text(found.get("__fp__"))] * n, [kind] * n, [_as_text(k) for k in pairs], [_as_text(x) for x in pairs.values()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], schema=schema)
+
+
+def _as_text(value) -> str | None:
+    """A value as Spark's parser gives it for a string; half a surrogate pair, which no UTF-8 holds, is a question mark."""
+    if value is None:
+        return None
+    value = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return value.encode("utf-8", "replace").decode()
 
 
 def quoted(text):
