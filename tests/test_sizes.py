@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from textloom.functions import protect
 from textloom.operators import keys
 from textloom.sources import readers, sinks
 
@@ -115,3 +116,14 @@ def test_progress_of_odd_files(spark):
     assert [r[1:] for r in got if r[0] == "5"] == [("f", "dialogue", "a", "b")]
     assert {r[3]: r[4] for r in got if r[0] == "4"} == {"k": None, "n": "1.5", "h": "?", "i": "7", "b": "true", "o": '{"x":[1,"é"]}'}
     assert {r[0] for r in got} == {"4", "5"}
+
+SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_protection_takes_batches_of_bounded_bytes(spark):
+    spark.conf.unset(SETTING)
+    df = spark.createDataFrame([("a [b] {c}\n@@p0@@",), (None,), ("",)], "t string").withColumn("p", protect.protected(F.col("t")))
+    rows = df.select("t", "p", protect.restored(F.col("p.text"), F.col("p.held")).alias("u"), protect.keeps_tokens(F.col("t"), F.col("t")).alias("k")).collect()
+    assert spark.conf.get(SETTING, None) == "4m"
+    assert [r.u for r in rows] == [r.t for r in rows] and [r.k for r in rows] == [True, None, True]
+    assert rows[0].p.text == "a @@p1@@ @@p2@@@@p3@@@@p0@@" and rows[0].p.held == {1: "[b]", 2: "{c}", 3: "\n"} and rows[1].p is None

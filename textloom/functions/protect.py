@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+from .batching import bounded
+
 _MARK = re.compile(r"\[[^\[\]]*\]")
 _TAG = re.compile(r"\{[^{}]*\}")
 _TOKENS = {kind: re.compile(rf"@@{kind}(\d+)@@") for kind in "pn"}
@@ -14,6 +16,8 @@ _BOTH = re.compile(r"@@[pn]\d+@@")
 _EAST = re.compile(r"[㐀-䶿一-鿿぀-ヿ가-힯]")
 
 RESULT = "struct<text:string,held:map<int,string>>"
+GUARDED = "struct<text:string,p:map<int,string>,n:map<int,string>>"
+_FIELD = re.compile(r"\w+:")
 
 
 class _Numbers:
@@ -63,37 +67,54 @@ def preserved(source: str, result: str) -> bool:
     return all(not (new := edge(result, y)) or new == edge(source, x) for m, n in zip(a, b) for x, y in ((m.start() - 1, n.start() - 1), (m.end(), n.end())))
 
 
-def protected(text: Column) -> Column:
-    @F.pandas_udf(RESULT)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        done = [protect(t) for t in texts]
-        return pd.DataFrame({"text": [t for t, _ in done], "held": [h for _, h in done]})
+def guard(text: str, names: list[str]) -> tuple[str, dict[int, str], dict[int, str]]:
+    """protect_names(), then protect(): the text, what its markup tokens hold, and what its name tokens do."""
+    named, n = protect_names(text, names)
+    shown, p = protect(named)
+    return shown, p, n
 
-    return run(text)
 
+_MAP = pa.map_(pa.int32(), pa.string())
+
+
+def _each(run, type_: str, kinds: list[pa.DataType], *columns: Column) -> Column:
+    """run over the rows of the columns; null where one is. Several kinds make a struct with the fields that type_ names."""
+    bounded()
+
+    def rows(*arrays):
+        done = [None if None in r else run(*r) for r in zip(*[a.to_pylist() for a in arrays])]
+        if len(kinds) == 1:
+            return pa.array(done, kinds[0])
+        held = lambda x: list(x.items()) if isinstance(x, dict) else x
+        parts = [pa.array([None if d is None else held(d[i]) for d in done], kind) for i, kind in enumerate(kinds)]
+        return pa.StructArray.from_arrays(parts, [f.split(":")[0] for f in _FIELD.findall(type_)], mask=pa.array([d is None for d in done], pa.bool_()))
+
+    many = {1: lambda a: rows(a), 2: lambda a, b: rows(a, b), 3: lambda a, b, c: rows(a, b, c)}[len(columns)]
+    return F.arrow_udf(many, type_)(*columns)
+
+
+def protected(text: Column) -> Column:
+    return _each(protect, RESULT, [pa.string(), _MAP], text)
 
-def names_protected(text: Column, names: list[str]) -> Column:
-    @F.pandas_udf(RESULT)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        done = [protect_names(t, names) for t in texts]
-        return pd.DataFrame({"text": [t for t, _ in done], "held": [h for _, h in done]})
 
-    return run(text)
+def names_protected(text: Column, names: list[str]) -> Column:
+    return _each(lambda t: protect_names(t, names), RESULT, [pa.string(), _MAP], text)
 
 
 def restored(text: Column, held: Column, kind: str = "p") -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, maps: pd.Series) -> pd.Series:
-        return pd.Series([restore(t, dict(m), kind) for t, m in zip(texts, maps)], dtype=object)
+    return _each(lambda t, m: restore(t, dict(m), kind), "string", [pa.string()], text, held)
 
-    return run(text, held)
 
+def guarded(text: Column, names: list[str]) -> Column:
+    """guard() as struct (text, p, n): one Python worker for both steps."""
+    return _each(lambda t: guard(t, names), GUARDED, [pa.string(), _MAP, _MAP], text)
 
-def keeps_tokens(source: Column, result: Column) -> Column:
-    """preserved() of two columns."""
 
-    @F.pandas_udf("boolean")
-    def run(sources: pd.Series, results: pd.Series) -> pd.Series:
-        return pd.Series([preserved(a, b) for a, b in zip(sources, results)], dtype=bool)
+def unguarded(text: Column, p: Column, n: Column) -> Column:
+    """Markup, then names, back to what the maps of guarded() hold."""
+    return _each(lambda t, a, b: restore(restore(t, dict(a)), dict(b), "n"), "string", [pa.string()], text, p, n)
+
 
-    return run(source, result)
+def keeps_tokens(source: Column, result: Column) -> Column:
+    """preserved() of two columns."""
+    return _each(preserved, "boolean", [pa.bool_()], source, result)
