@@ -127,3 +127,14 @@ def test_protection_takes_batches_of_bounded_bytes(spark):
     assert spark.conf.get(SETTING, None) == "4m"
     assert [r.u for r in rows] == [r.t for r in rows] and [r.k for r in rows] == [True, None, True]
     assert rows[0].p.text == "a @@p1@@ @@p2@@@@p3@@@@p0@@" and rows[0].p.held == {1: "[b]", 2: "{c}", 3: "\n"} and rows[1].p is None
+
+
+def test_protection_and_restoring_take_one_worker_each(spark):
+    from textloom.plans import registry
+
+    df = registry.QUERIES["protect_restore_roundtrip"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+    texts = [("the [the] {b}\nBe @@n0@@ @@p1@@ und",), (None,), ("",)]
+    g = spark.createDataFrame(texts, "t string").withColumn("g", protect.guarded(F.col("t"), ["the", "Be", "und"]))
+    got = g.select("g", protect.unguarded(F.col("g.text"), F.col("g.p"), F.col("g.n")).alias("u")).collect()
+    assert [(r.u,) for r in got] == texts and got[0].g.n == {1: "the", 2: "the", 3: "und", 4: "Be"}

@@ -24,8 +24,8 @@ def placeholder_sequence(spark, d):
 
 @query(V.sql("SELECT doc_id, text FROM marked", "marked"))
 def protect_restore_roundtrip(spark, d):
-    rows = V.marked(spark, d).withColumn("n", P.names_protected(F.col("text"), _NAMES)).withColumn("p", P.protected(F.col("n.text")))
-    return rows.select("doc_id", P.restored(P.restored(F.col("p.text"), F.col("p.held")), F.col("n.held"), "n").alias("text"))
+    rows = V.marked(spark, d).withColumn("g", P.guarded(F.col("text"), _NAMES))
+    return rows.select("doc_id", P.unguarded(F.col("g.text"), F.col("g.p"), F.col("g.n")).alias("text"))
 
 
 @query(V.sql("SELECT doc_id, 2 + length(text) - length(replace(text, chr(10), '')) AS n_tokens FROM marked", "marked"))
