@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from textloom.functions import protect
-from textloom.operators import keys
+from textloom.operators import keys, mapper
 from textloom.sources import readers, sinks
 
 
@@ -138,3 +138,27 @@ def test_protection_and_restoring_take_one_worker_each(spark):
     g = spark.createDataFrame(texts, "t string").withColumn("g", protect.guarded(F.col("t"), ["the", "Be", "und"]))
     got = g.select("g", protect.unguarded(F.col("g.text"), F.col("g.p"), F.col("g.n")).alias("u")).collect()
     assert [(r.u,) for r in got] == texts and got[0].g.n == {1: "the", 2: "the", 3: "und", 4: "Be"}
+
+
+def test_batches_of_bytes_share_what_their_task_knows(spark, tmp_path):
+    log = tmp_path / "sizes"
+    log.mkdir()
+
+    def client(texts):
+        import uuid
+
+        (log / f"{len(texts)}-{uuid.uuid4().hex}").touch()
+        return texts[:-1] if len(texts) > 25 else [t + "!" for t in texts]
+
+    spark.conf.unset(SETTING)
+    df = spark.range(4000).select(F.format_string("text of row number %d", "id").alias("t"))
+    mapper.map_distinct(df, "t", client)
+    assert spark.conf.get(SETTING, None) == "4m"
+    spark.conf.set(SETTING, "4k")
+    try:
+        got = mapper.map_distinct(df, "t", client).collect()
+    finally:
+        spark.conf.unset(SETTING)
+    assert len(got) == 4000 and all(r.translation == r.t + "!" for r in got)
+    # four tasks of the suite's session; each frame of a task asked for 40 again before
+    assert 1 <= sum(p.name.startswith("40-") for p in log.iterdir()) <= 4

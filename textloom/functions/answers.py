@@ -8,6 +8,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from .batching import bounded
+
 _PAIRS = {'"': '"', "'": "'", "“": "”", "‘": "’", "「": "」", "『": "』"}
 _KEYS = ("translation", "translated", "text", "result", "output", "content", "answer")
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S)
@@ -73,6 +75,8 @@ def name_list(text: str) -> list[str]:
 
 
 def unwrapped(text: Column) -> Column:
+    bounded()
+
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(unwrap)
@@ -82,6 +86,7 @@ def unwrapped(text: Column) -> Column:
 
 def names_listed(text: Column) -> Column:
     """name_list() of a column."""
+    bounded()
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
@@ -91,6 +96,8 @@ def names_listed(text: Column) -> Column:
 
 
 def parsed_array(text: Column, expected: Column) -> Column:
+    bounded()
+
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series, sizes: pd.Series) -> pd.Series:
         return pd.Series([array_of(t, int(n)) for t, n in zip(texts, sizes)], dtype=object)

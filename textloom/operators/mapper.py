@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.answers import array_of, name_list, unwrap
+from ..functions.batching import bounded
 from ..functions.protect import preserved, protect, protect_names, restore
 from ..functions.text import proper_name
 
@@ -100,11 +101,12 @@ def _passes(shown: str, answer) -> bool:
     return isinstance(answer, str) and bool(answer.strip()) and preserved(shown, answer)
 
 
-def translate(client: Client, texts: list[str], *, names: list[str] = (), tries: int = 3, depth: int = 4, most: int = 1200, items: int = 40, workers: int = 1, paused: Callable[[], bool] | None = None) -> list[str]:
+def translate(client: Client, texts: list[str], *, names: list[str] = (), tries: int = 3, depth: int = 4, most: int = 1200, items: int = 40, workers: int = 1, paused: Callable[[], bool] | None = None, asking: Asking | None = None) -> list[str]:
     """Aligned answers; blank texts pass, names and markup are protected, bad answers fall back to the source.
 
     `workers` batches are asked for at a time, by threads of the task, and come back in the order of the texts.
     `paused` is asked between requests; once it says yes the remaining texts keep their source.
+    `asking` is what earlier calls have learned of the client.
     """
     out = list(texts)
     todo = [i for i, t in enumerate(texts) if t and t.strip()]
@@ -113,7 +115,7 @@ def translate(client: Client, texts: list[str], *, names: list[str] = (), tries:
         named, n = protect_names(texts[i], list(names))
         shown, p = protect(named)
         held[i] = (shown, p, n)
-    asking = Asking(client, items=items, tries=tries, depth=depth, paused=paused)
+    asking = asking or Asking(client, items=items, tries=tries, depth=depth, paused=paused)
     parts = batches([held[i][0] for i in todo], most=most, items=items)
     if workers > 1:
         with ThreadPoolExecutor(workers) as pool:
@@ -168,6 +170,7 @@ def found_names(df: DataFrame, text: str, ask: Callable[[list[str]], str], *, mo
                 names.update((n.strip(), None) for n in listed if n.strip() and any(n.strip() in t for t in batch))
             yield type(frame)({"name": list(names)}, dtype=object)
 
+    bounded(df.sparkSession)
     return df.select(text).distinct().mapInPandas(run, "name string").where(proper_name(F.col("name"))).distinct()
 
 
@@ -176,10 +179,12 @@ def map_distinct(df: DataFrame, text: str, client: Client, out: str = "translati
     distinct = df.select(text).distinct()
 
     def run(frames):
+        asking = Asking(client, **{k: v for k, v in limits.items() if k in ("items", "tries", "depth", "paused")})
         for frame in frames:
-            frame[out] = translate(client, frame[text].tolist(), **limits)
+            frame[out] = translate(client, frame[text].tolist(), asking=asking, **limits)
             yield frame
 
+    bounded(df.sparkSession)
     answers = distinct.mapInPandas(run, StructType([*distinct.schema.fields, StructField(out, StringType())]))
     return df.join(answers, text, "left")
 
