@@ -1,12 +1,15 @@
 """What grows with the rows of one key, file or batch."""
 
+import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import protect
 from textloom.operators import keys, mapper
 from textloom.sources import readers, sinks
+from textloom.streaming import incremental
 
 
 def greedy(rows):
@@ -22,8 +25,6 @@ def greedy(rows):
 
 
 def test_free_names_are_the_greedy_ones():
-    import random
-
     rng = random.Random(5)
     pool = ["a", "a_1", "a_2", "a_3", "a_7", "a_1_1", "a_1_2", "a_01", "a_0", "a_", "_1", "", "a_x", "a_²"]
     for n in range(400):
@@ -162,3 +163,27 @@ def test_batches_of_bytes_share_what_their_task_knows(spark, tmp_path):
     assert len(got) == 4000 and all(r.translation == r.t + "!" for r in got)
     # four tasks of the suite's session; each frame of a task asked for 40 again before
     assert 1 <= sum(p.name.startswith("40-") for p in log.iterdir()) <= 4
+
+
+def shuffled_bytes(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_a_refresh_moves_its_batches_and_not_its_table(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(incremental, "SENT_ROWS", sent)
+    source, rng, n = str(tmp_path / "in"), random.Random(3), 12
+    text = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3000))
+    again, rows = text(), []
+    for k in range(n):
+        own = [(k, t) for t in [*(text() for _ in range(100)), again, again, None, ""]]
+        rows += own
+        spark.createDataFrame(own, "k int, text string").coalesce(1).write.mode("append").parquet(source)
+    before = shuffled_bytes(spark)
+    done = incremental.refresh(spark, source, "k int, text string", f"{tmp_path}/out", f"{tmp_path}/state", "text", lambda new: new)
+    assert done.select("batch_id").distinct().count() == n
+    moved = shuffled_bytes(spark) - before
+    assert sorted(map(repr, (r.text for r in done.collect()))) == sorted(map(repr, {t for _, t in rows}))
+    if sent:
+        assert moved < 2 * sum(len(t or "") for _, t in rows)
